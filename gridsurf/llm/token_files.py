@@ -81,7 +81,7 @@ class WordEncoder:
         for i, t in enumerate(texts):
             if self.plain and not _RUN.search(t) and not any(s in t for s in self.special):
                 c = t.split(" ")
-                c[0] = "\0" + c[0]  # the first chunk has no space before it
+                c[0] = " " + c[0]  # marks the first chunk, which no space precedes; no other chunk holds one
                 chunks[i] = c
             else:
                 whole.append(i)
@@ -90,7 +90,7 @@ class WordEncoder:
         extra: dict[str, bytes] = {}
         if new:
             new_list = list(new)
-            spelled = [w[1:] if w[:1] == "\0" else " " + w for w in new_list]
+            spelled = [w[1:] if w[:1] == " " else " " + w for w in new_list]
             got = dict(zip(new_list, self._library(spelled), strict=True))
             if len(known) + len(got) <= CACHE_WORDS:
                 known.update(got)
