@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from gridsurf.llm import token_files
+from gridsurf.llm import ann, token_files
 
 QUERIES = {
+    "op1_multi_index": ann.op1_multi_index,
     "op8_token_files": token_files.op8_token_files,
 }
 
