@@ -139,3 +139,26 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     value = BYTE_MIX[raw] * POS_MIX[at & 4095] ^ (BYTE_MIX[raw] >> np.uint64(23)) * (at.astype(np.uint64) + np.uint64(1))
     value[SPACE[raw]] = 0
     return mix64(np.add.reduceat(value, starts) + length.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+
+
+def slices(column, limit: int = 4 << 20):
+    """Row ranges of an Arrow string column with about `limit` bytes of text each, one row at least."""
+    _, offsets = text_buffer(column)
+    row, n = 0, len(offsets) - 1
+    while row < n:
+        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, "right")) - 1)
+        yield row, min(stop, n)
+        row = min(stop, n)
+
+
+def joined(texts: list[str | None], gap: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all texts, each followed by gap; starts and ends of the texts in them."""
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    size = np.array([len(p) for p in parts], np.int64)
+    starts = np.cumsum(size + len(gap)) - size - len(gap)
+    return np.frombuffer(gap.join(parts) + gap, np.uint8), starts, starts + size
+
+
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most `rows` rows, the same for the same input: those whose key hashes lowest."""
+    return df.orderBy(F.xxhash64(F.col(key)), key).limit(rows)

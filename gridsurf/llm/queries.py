@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gridsurf.llm import ann, simhash, token_files
+from gridsurf.llm import ann, language, simhash, token_files
 
 QUERIES = {
     "op1_multi_index": ann.op1_multi_index,
     "op4_simhash": simhash.op4_simhash,
     "op8_token_files": token_files.op8_token_files,
+    "op9_language": language.op9_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
