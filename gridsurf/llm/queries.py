@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridsurf.llm import ann, language, quality, simhash, token_files, toxicity
+from gridsurf.llm import ann, language, quality, simhash, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_multi_index": ann.op1_multi_index,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_files": token_files.op8_token_files,
     "op9_language": language.op9_language,
+    "op10_suffix": suffix_dedup.op10_suffix,
 }
 
 ORACLE_SQL: dict[str, str] = {}
