@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from gridsurf.llm import ann, language, quality, simhash, substring, suffix_dedup, token_files, toxicity
+from gridsurf.llm import ann, decontaminate, language, quality, simhash, substring, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_multi_index": ann.op1_multi_index,
     "op3_quality": quality.op3_quality,
     "op4_simhash": simhash.op4_simhash,
+    "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_substring": substring.op6_substring,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_token_files": token_files.op8_token_files,
@@ -15,4 +16,4 @@ QUERIES = {
     "op10_suffix": suffix_dedup.op10_suffix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_decontaminate": decontaminate.ORACLE}
