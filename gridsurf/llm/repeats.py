@@ -32,13 +32,13 @@ _POW: list[np.ndarray] = []
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POW or len(_POW[0]) < n:
-        n = max(n, 1 << 16)
+        size = max(n, 1 << 16)
         out = []
         for base in (_MUL, _INV):
-            p = np.ones(n, np.uint64)
+            p = np.ones(size, np.uint64)
             done = 1
-            while done < n:
-                more = min(done, n - done)
+            while done < size:
+                more = min(done, size - done)
                 p[done : done + more] = p[:more] * np.uint64(pow(base, done, 1 << 64))
                 done += more
             out.append(p)
