@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from gridsurf.llm import ann, decontaminate, language, quality, simhash, substring, suffix_dedup, token_files, toxicity
+from gridsurf.llm import ann, decontaminate, language, pieces, quality, simhash, substring, suffix_dedup, token_files, toxicity
 
 QUERIES = {
     "op1_multi_index": ann.op1_multi_index,
+    "op2_pieces": pieces.op2_pieces,
     "op3_quality": quality.op3_quality,
     "op4_simhash": simhash.op4_simhash,
     "op5_decontaminate": decontaminate.op5_decontaminate,
