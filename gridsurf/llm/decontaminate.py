@@ -35,17 +35,18 @@ def words(text):
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def hashes(words_col, size: int):
-    """Array of structs of the word hashes of each shingle; one row each when exploded."""
-    n = F.size(words_col)
-    h = F.transform(words_col, lambda w: F.xxhash64(w))
-    return F.when(n >= size, F.arrays_zip(*[F.slice(h, F.lit(k + 1), n - (size - 1)).alias(f"h{k}") for k in range(size)]))
+def spread(w, size: int):
+    """Array of structs s0, s1, ... of each run of `size` elements of an array column."""
+    n = F.size(w)
+    return F.when(n >= size, F.arrays_zip(*[F.slice(w, F.lit(k + 1), n - (size - 1)).alias(f"s{k}") for k in range(size)]))
 
 
-def shingles(words_col, size: int):
-    """Array of the distinct shingles, words joined by spaces."""
-    n = F.size(words_col)
-    return F.when(n >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.array_join(F.slice(words_col, i, size), " "))))
+def shingle_rows(docs: DataFrame, size: int, hashed: bool) -> DataFrame:
+    """doc_id, n (words), s: a row for each shingle, as s0, s1, ... words or their hashes. Words are made once a row."""
+    w = docs.select("doc_id", words(F.col("text")).alias("w"))
+    if hashed:
+        w = w.select("doc_id", F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
+    return w.select("doc_id", F.size("w").alias("n"), "w").select("doc_id", "n", F.explode(spread(F.col("w"), size)).alias("s"))
 
 
 def item_shingles(bench: DataFrame) -> DataFrame:
@@ -53,7 +54,8 @@ def item_shingles(bench: DataFrame) -> DataFrame:
     w = bench.select("item_id", words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     rows = None
     for size in range(1, SHINGLE + 1):
-        own = w.filter(F.size("w") == size if size < SHINGLE else F.size("w") >= size).select("item_id", F.lit(size).alias("size"), F.explode(shingles(F.col("w"), size)).alias("shingle"))
+        own = w.filter(F.size("w") == size if size < SHINGLE else F.size("w") >= size).select("item_id", F.lit(size).alias("size"), F.explode(spread(F.col("w"), size)).alias("s"))
+        own = own.select("item_id", "size", F.concat_ws(" ", *[F.col(f"s.s{k}") for k in range(size)]).alias("shingle"))
         rows = own if rows is None else rows.unionByName(own)
     rows = rows.distinct()
     m = rows.groupBy("item_id", "size").agg(F.count("*").alias("m"))
@@ -85,8 +87,8 @@ def contained(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
     met = None
     for size in sizes:
-        rows = own.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.greatest(F.size("w") - (size - 1), F.lit(0)).alias("n"), F.explode(hashes(F.col("w"), size)).alias("s"))
-        rows = rows.select("doc_id", "n", F.xxhash64(*[F.col(f"s.h{k}") for k in range(size)]).alias("h"))
+        rows = shingle_rows(own, size, hashed=True)
+        rows = rows.select("doc_id", (F.col("n") - (size - 1)).alias("n"), F.xxhash64(*[F.col(f"s.s{k}") for k in range(size)]).alias("h"))
         hit = rows.join(small(sketch.filter(F.col("size") == size)), "h").filter("n >= least").select("doc_id")
         met = hit if met is None else met.unionByName(hit)
     if met is None:
@@ -96,7 +98,7 @@ def contained(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
     pairs = None
     for size in sizes:
-        rows = suspects.select("doc_id", F.explode(shingles(words(F.col("text")), size)).alias("shingle"))
+        rows = shingle_rows(suspects, size, hashed=False).select("doc_id", F.concat_ws(" ", *[F.col(f"s.s{k}") for k in range(size)]).alias("shingle"))
         hit = rows.join(small(items.filter(F.col("size") == size)), "shingle").select("doc_id", "item_id", "shingle", "m", "need")
         pairs = hit if pairs is None else pairs.unionByName(hit)
     # one row for each shingle of a pair, then their number: no item's shingles meet in one place uncounted
