@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from gridsurf.plans import scalars
+
 FLAGSHIP = "win_box_mean"
 
 QUERIES: dict = {}
 
 ORACLE_SQL: dict[str, str] = {}
+
+for _module in (scalars,):
+    QUERIES |= _module.Q
+    ORACLE_SQL |= _module.O
