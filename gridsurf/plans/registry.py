@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridsurf.plans import scalars
+from gridsurf.plans import grids, scalars
 
 FLAGSHIP = "win_box_mean"
 
@@ -10,6 +10,6 @@ QUERIES: dict = {}
 
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (scalars,):
+for _module in (scalars, grids):
     QUERIES |= _module.Q
     ORACLE_SQL |= _module.O
