@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridsurf.plans import clouds, grids, scalars
+from gridsurf.plans import clouds, composites, grids, scalars
 
 FLAGSHIP = "win_box_mean"
 
@@ -10,6 +10,6 @@ QUERIES: dict = {}
 
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (scalars, grids, clouds):
+for _module in (scalars, grids, clouds, composites):
     QUERIES |= _module.Q
     ORACLE_SQL |= _module.O
