@@ -145,7 +145,8 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, size: int = SHING
     root_low = found.join(each.withColumnRenamed("fp", "node"), "node").select("node", "root", "low")
     low = root_low.groupBy("root").agg(F.min("low").alias("component"))
     named = root_low.join(low, "root").select(F.col("node").alias("fp"), "component")
-    all_fps = each.join(named, "fp", "left").select("fp", F.coalesce("component", "low").alias("component"))
+    # written, so that the last join reads two plain shuffles and Spark may split a fingerprint that many share
+    all_fps, _ = common.write_table(each.join(named, "fp", "left").select("fp", F.coalesce("component", "low").alias("component")), "simhash-components")
     return marked.join(all_fps, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
