@@ -155,5 +155,17 @@ def brute(texts: list[tuple[int, str | None]], width: int = WIDTH) -> dict[int,
     return out
 
 
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w WHERE len(ws) >= 20)),
+seen AS (SELECT k, min({'d': doc_id, 'i': i}) AS early, count(*) AS n FROM win GROUP BY k HAVING count(*) > 1),
+dup AS (SELECT doc_id, i FROM win JOIN seen USING (k) WHERE {'d': doc_id, 'i': i} > early),
+gone AS (SELECT DISTINCT doc_id, i + o AS j FROM dup, range(20) r(o)),
+words AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w),
+kept AS (SELECT words.doc_id, count(*) AS n_words, count(gone.j) AS n_removed, string_agg(word, ' ' ORDER BY words.j) FILTER (gone.j IS NULL) AS t FROM words LEFT JOIN gone ON gone.doc_id = words.doc_id AND gone.j = words.j GROUP BY words.doc_id)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_passages(common.read_docs(spark, sf_dir))

@@ -97,5 +97,20 @@ def brute(texts: dict[int, str | None], width: int = WIDTH) -> dict[int, tuple[i
     return out
 
 
+#: Every string of every text, by its MD5 number; texts as hexadecimal digits, as strings may cut characters.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, i, md5_number(substring(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)),
+dup AS (SELECT doc_id, i FROM win JOIN (SELECT k FROM win GROUP BY k HAVING count(*) > 1) USING (k)),
+grp AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS new FROM dup)),
+span AS (SELECT doc_id, g, min(i) AS a, max(i) + 400 AS z FROM grp GROUP BY doc_id, g),
+part AS (SELECT doc_id, g, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS b FROM span),
+gone AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS tail FROM span GROUP BY doc_id),
+head AS (SELECT p.doc_id, string_agg(substring(h, 2 * b + 1, 2 * (a - b)), '' ORDER BY a) AS t FROM part p JOIN d ON d.doc_id = p.doc_id GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head.t, '') || substring(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id) LEFT JOIN head USING (doc_id)
+"""
+
+
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(common.read_docs(spark, sf_dir))
