@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from gridsurf.plans import clouds, composites, grids, scalars
 
-FLAGSHIP = "win_box_mean"
+FLAGSHIP = "dedup_voxel_two_pass"
 
 QUERIES: dict = {}
 
