@@ -151,8 +151,10 @@ def fit(texts: list[str | None], labels: np.ndarray, epochs: int = EPOCHS, l2: f
     labels = np.asarray(labels, np.float64)
     if not len(labels) or labels.min() == labels.max():
         return None if not len(labels) else float(labels[0])
-    x, size, doc = line_features(texts)
     n = len(texts)
+    parts = [line_features(texts[s : s + 100]) for s in range(0, n, 100)]  # the features of bytes and words are larger than the lines'
+    x, size = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    doc = np.concatenate([p[2] + 100 * k for k, p in enumerate(parts)])
     chain, y = Chain(doc, n), labels[doc]
     linked = np.flatnonzero(np.append(False, doc[1:] == doc[:-1]))
     # each text counts alike, however many its lines, and both labels alike
