@@ -26,10 +26,8 @@ SAMPLE = 3000
 BITS = 20
 EPOCHS = 400
 THRESHOLD = 0.7
-#: Share of the toxic training texts a word must stand in to be a feature.
-LEAST = 0.03
-#: and by how many standard deviations its count must differ from unlabelled text.
-APART = 5.0
+#: Toxic training texts a word must stand in to be a feature: a count, as a share would shut out small languages.
+LEAST = 3
 #: and how many times its share in unlabelled text; language alone gives less.
 LIFT = 2.5
 
@@ -61,7 +59,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -500, 500)))
 
 
-def fit(positive: list[str | None], unlabelled: list[str | None], prior: float, epochs: int = EPOCHS, l2: float = 4e-4):
+def fit(positive: list[str | None], unlabelled: list[str | None], prior: float, epochs: int = EPOCHS, l2: float = 3e-3):
     """slot of each bucket, weights and intercept."""
     if not positive or not unlabelled or prior <= 0:
         return None
@@ -74,10 +72,9 @@ def fit(positive: list[str | None], unlabelled: list[str | None], prior: float,
     key = np.unique(doc << BITS | bucket)
     held = np.bincount(key[key >> BITS < n_p] & ((1 << BITS) - 1), minlength=1 << BITS)
     others = np.bincount(key[key >> BITS >= n_p] & ((1 << BITS) - 1), minlength=1 << BITS)
-    # words of several toxic texts whose count there differs from unlabelled text
+    # words of several toxic texts whose share there exceeds that in unlabelled text; l2 holds chance ones down
     rate = n_p / n_u
-    away = np.abs(held - others * rate) / np.sqrt(others * rate * (1 + rate) + 1.0)
-    chosen = np.flatnonzero((held >= LEAST * n_p) & (away > APART) & (held > LIFT * rate * others))
+    chosen = np.flatnonzero((held >= LEAST) & (held > LIFT * rate * others))
     slot = np.full(1 << BITS, -1, np.int64)
     slot[chosen] = np.arange(len(chosen))
     f = [features(texts[s : s + 200], slot) for s in range(0, len(texts), 200)]

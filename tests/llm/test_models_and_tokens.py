@@ -159,6 +159,28 @@ def test_toxicity_is_learned_from_positives_and_unlabelled_text():
     assert (toxicity.score(good, model) < 0.7).mean() > 0.97 and (toxicity.score(evil, model) >= 0.7).mean() > 0.97
 
 
+def test_toxicity_of_a_small_language_is_learned():
+    rng = np.random.default_rng(8)
+    from tests.llm.conftest import prose
+
+    def text(small, toxic):
+        w = prose(rng, 80).split()
+        if small:
+            w = [x[::-1] + "o" for x in w]
+        for i in rng.choice(80, 5, replace=False) if toxic else []:
+            w[i] = (["bomente", "bocodra"] if small else ["idiotic", "wretched", "scummy"])[rng.integers(0, 2 + (not small))]
+        return " ".join(w)
+
+    # 8 of 300 toxic texts: under 3 in a hundred
+    positive = [text(k < 8, True) for k in range(300)]
+    plain = [text(rng.random() < 8 / 300, rng.random() < 0.1) for _ in range(2000)]
+    model = toxicity.fit(positive, plain, 0.1)
+    for small in (True, False):
+        evil, good = ([text(small, t) for _ in range(100)] for t in (True, False))
+        assert (toxicity.score(evil, model) >= 0.7).mean() > 0.8, small
+        assert (toxicity.score(good, model) < 0.7).mean() > 0.95, small
+
+
 def test_toxicity_edges(spark, odd, empty):
     labels = spark.createDataFrame([(3, 1), (1, 0)], "doc_id long, toxic int")
     model = toxicity.learn(odd, labels)
