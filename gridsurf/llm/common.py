@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -10,17 +12,22 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch sent to a Python worker; texts may be long, so batches stay short.
+#: Rows and bytes in an Arrow batch sent to a Python worker; a longer text is a batch of its own.
 ARROW_ROWS = 512
+ARROW_BYTES = 2 << 20
 
 _own_shared: dict[str, str] = {}
+#: Tables written by write_table and not dropped yet.
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of this session's own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own; a cluster is refused."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_shared:
         _own_shared[app] = "file://" + tempfile.mkdtemp(prefix="gridsurf-")
@@ -30,6 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 def tune(spark: SparkSession) -> None:
     """Short Arrow batches for the Python stages that follow."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -40,6 +48,9 @@ def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Cuts lineage: writes df as Parquet in the shared folder and reads it back."""
     spark = df.sparkSession
     path = new_path(spark, name)
+    if not _written:
+        atexit.register(_drop_rest, spark)
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -49,6 +60,28 @@ def drop_table(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def written() -> list[str]:
+    """The tables that have been written and not dropped."""
+    return list(_written)
+
+
+def _drop_rest(spark: SparkSession) -> None:
+    """At the end of the program: results are read by then, or never will be."""
+    for path in written():
+        try:
+            drop_table(spark, path)
+        except Exception:  # the session has ended; its owner cleans the shared folder
+            return
+
+
+def free(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing needs any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def n_parts(spark: SparkSession) -> int:
@@ -141,7 +174,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix64(np.add.reduceat(value, starts) + length.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
 
 
-def slices(column, limit: int = 4 << 20):
+def slices(column, limit: int = 1 << 20):
     """Row ranges of an Arrow string column with about `limit` bytes of text each, one row at least."""
     _, offsets = text_buffer(column)
     row, n = 0, len(offsets) - 1

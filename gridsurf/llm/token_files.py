@@ -38,70 +38,153 @@ LAYOUT = {
     "parquet.page.row.count.limit": "2000",
 }
 
-_RUN = re.compile(r" \s")
+#: Chunks that a worker remembers the ids of; beyond it the memory starts afresh.
+CACHE_CHUNKS = 1 << 20
 
-#: Most words that a worker remembers the ids of.
-CACHE_WORDS = 600_000
+#: White space beyond ASCII as the pre-tokeniser sees it (fixed values).
+_WIDE_SPACE = re.compile("[\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Characters that some libraries take for white space and others do not (fixed values).
+_UNSURE = re.compile("[\x1c-\x1f\x85\u180e]")
+
+#: ASCII letters and digits; ASCII punctuation but for the apostrophe, which may start a contraction.
+_ALNUM, _POINT = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_POINT[[c for c in range(0x21, 0x7F) if c != 0x27]] = True
+_POINT &= ~_ALNUM
 
 
 class WordEncoder:
     """Ids of whole texts by the tokenizers library, which encodes each new chunk once.
 
-    The byte-level pre-tokeniser never joins a character to a space that
-    follows it, so a text may be cut before each single space; runs of white
-    space that start with a space are encoded with their whole text.
+    A chunk is a run of white space and what follows it up to the next one, or punctuation
+    that follows a letter or digit. The byte-level pre-tokeniser never joins what stands on
+    the two sides of such a cut, so that the ids of a text are those of its chunks.
+    Texts that cannot be cut so (another pre-tokeniser, a special token spelled in the
+    text, characters of which it is unsure whether they are white space) go to the library whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE_CHUNKS):
+        import json
         import os
 
+        import regex
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.plain = self._cuts_safely()
-
-    def _cuts_safely(self) -> bool:
-        import json
-
+        marks = self.tok.get_added_tokens_decoder()
+        self.marks = [t.content for t in marks.values()]
+        self.mark = next(((t.content, i) for i, t in marks.items() if not (t.lstrip or t.rstrip or t.single_word)), None)
         spec = json.loads(self.tok.to_str())
         pre = spec.get("pre_tokenizer") or {}
-        return spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str], end: bytes) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text, then `end`."""
-        out: list[bytes | None] = [None] * len(texts)
-        chunks: dict[int, list[str]] = {}
-        whole = []
-        for i, t in enumerate(texts):
-            if self.plain and not _RUN.search(t) and not any(s in t for s in self.special):
-                c = t.split(" ")
-                c[0] = " " + c[0]  # marks the first chunk, which no space precedes; no other chunk holds one
-                chunks[i] = c
-            else:
-                whole.append(i)
-        known = self.words
-        new = set().union(*map(set, chunks.values())) - known.keys() if chunks else set()
-        extra: dict[str, bytes] = {}
+        self.plain = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and self.mark is not None
+        if self.plain:
+            # chunks that the pre-tokeniser leaves whole skip it: the same model, told where they end by the sign of a zero byte
+            shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that a byte-level vocabulary spells as themselves; the others follow from 0x100 on
+            self.letters = {b: b if b in shown else 0x100 + sum(c not in shown for c in range(b)) for b in range(256)}
+            self.zero = self.tok.token_to_id(chr(self.letters[0]))
+            self.direct = Tokenizer.from_file(path)
+            self.direct.pre_tokenizer = pre_tokenizers.Split(chr(self.letters[0]), "isolated")
+            self.single = regex.compile(r" ?(?:\p{L}+|\p{N}+|[^\s\p{L}\p{N}'\x00]+)").fullmatch
+        self.cache = cache
+        self.forget()
+
+    def forget(self) -> None:
+        """Drops all remembered chunks: their numbers, and start and size of their ids in a pool."""
+        self.known: dict[bytes, int] = {}
+        self.at = np.empty((1 << 12, 2), np.int64)
+        self.ids, self.used = np.empty(1 << 16, np.uint32), 0
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Encodes new chunks in a few calls and remembers them."""
+        texts = [c.decode("utf-8", "surrogatepass") for c in chunks]
+        one = [self.zero is not None and bool(self.single(t)) for t in texts]
+        for direct in (True, False):
+            own = [k for k, x in enumerate(one) if x is direct]
+            for s in range(0, len(own), 16_384):
+                part = own[s : s + 16_384]
+                if direct:
+                    spelled = b"\0".join([chunks[k] for k in part]).decode("latin-1").translate(self.letters)
+                    ids, mark = np.array(self.direct.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, np.uint32), self.zero
+                else:
+                    ids, mark = self._whole(self.mark[0].join([texts[k] for k in part])), self.mark[1]
+                cut = np.flatnonzero(ids == mark)
+                if len(cut) != len(part) - 1:
+                    raise ValueError("chunks and ids do not fit")
+                start, stop = np.append(0, cut + 1), np.append(cut, len(ids))
+                need = len(self.known) + len(part)
+                if need > len(self.at):
+                    self.at = np.concatenate([self.at, np.empty((need, 2), np.int64)])
+                if self.used + len(ids) > len(self.ids):
+                    self.ids = np.concatenate([self.ids, np.empty(max(len(ids), len(self.ids)), np.uint32)])
+                self.ids[self.used : self.used + len(ids)] = ids
+                self.at[len(self.known) : need, 0], self.at[len(self.known) : need, 1] = self.used + start, stop - start
+                self.used += len(ids)
+                self.known.update(zip([chunks[k] for k in part], range(len(self.known), need), strict=True))
+
+    def _chunked(self, raw: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and how many each has."""
+        import pyarrow as pa
+
+        space = common.SPACE[raw]
+        letter = _ALNUM[raw]
+        if int(raw.max()) >= 0x80:
+            accent = np.flatnonzero(raw[:-1] == 0xC3) + 1  # letters with accents, two bytes each, but for two signs
+            letter[accent[(raw[accent] != 0x97) & (raw[accent] != 0xB7)]] = True
+            text = raw.tobytes()
+            if _WIDE_SPACE.search(text.decode("utf-8", "ignore")):
+                for a in np.flatnonzero((raw == 0xC2) | (raw == 0xE1) | (raw == 0xE2) | (raw == 0xE3)).tolist():
+                    n = 2 if raw[a] == 0xC2 else 3
+                    if _WIDE_SPACE.match(text[a : a + n].decode("utf-8", "ignore")):
+                        space[a : a + n] = True
+        begin = space.copy()
+        begin[1:] &= ~space[:-1]
+        begin[1:] |= _POINT[raw[1:]] & letter[:-1]
+        begin[first[:-1][np.diff(first) > 0]] = True
+        start = np.flatnonzero(begin)
+        column = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(np.append(start, len(raw)).astype(np.int32)), pa.py_buffer(raw)])
+        coded = column.dictionary_encode()
+        values = coded.dictionary.to_pylist()
+        number = list(map(self.known.get, values))
+        new = [k for k, x in enumerate(number) if x is None]
         if new:
-            new_list = list(new)
-            spelled = [w[1:] if w[:1] == " " else " " + w for w in new_list]
-            got = dict(zip(new_list, self._library(spelled), strict=True))
-            if len(known) + len(got) <= CACHE_WORDS:
-                known.update(got)
+            if len(self.known) + len(new) > self.cache and self.known:
+                self.forget()
+                new = list(range(len(values)))
+            self._learn([values[k] for k in new])
+            for k in new:
+                number[k] = self.known[values[k]]
+        row = self.at[np.array(number, np.int64)][coded.indices.to_numpy()]
+        before = np.append(0, np.cumsum(row[:, 1]))
+        return self.ids[_runs(row[:, 0], row[:, 1])], np.diff(before[np.searchsorted(start, first)])
+
+    def encode(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of an Arrow string column in turn, and how many each has."""
+        raw, first = common.text_buffer(column)
+        if not len(raw):
+            return np.empty(0, np.uint32), np.zeros(len(first) - 1, np.int64)
+        text = raw.tobytes().decode("utf-8", "surrogatepass")
+        if self.plain and not _UNSURE.search(text) and not any(m in text for m in self.marks):
+            return self._chunked(raw, first)
+        each = []
+        for k, t in enumerate(column.to_pylist()):
+            if not t:
+                each.append(np.empty(0, np.uint32))
+            elif self.plain and not _UNSURE.search(t) and not any(m in t for m in self.marks):
+                each.append(self._chunked(raw[first[k] : first[k + 1]], np.array([0, first[k + 1] - first[k]]))[0])
             else:
-                extra = got
-        for i, c in chunks.items():
-            out[i] = b"".join([extra[w] if w in extra else known[w] for w in c] if extra else [known[w] for w in c]) + end
-        if whole:
-            for i, b in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-                out[i] = b + end
-        return out  # type: ignore[return-value]
+                each.append(self._whole(t))
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
+
+
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run of `size` places."""
+    end = np.cumsum(size)
+    return np.repeat(start - (end - size), size) + np.arange(int(end[-1]) if len(end) else 0)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -128,19 +211,20 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int, n_
         import pyarrow as pa
         from pyspark import TaskContext
 
-        part, first, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        part, first = TaskContext.get().partitionId(), 0
         enc = encoder(tokenizer)
-        for b in batches:
-            ids = enc.encode(b.column(1).to_pylist(), end)
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            before = first + np.cumsum(n) - n
-            first += int(n.sum())
-            offsets = pa.array(np.append(0, np.cumsum(n)).astype(np.int32))
-            values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), part, np.int32)), b.column(0), pa.array(before), pa.array(n), pa.ListArray.from_arrays(offsets, values)],
-                ["part", "doc_id", "first", "n_tokens", "ids"],
-            )
+        for whole in batches:
+            for s, e in common.slices(whole.column(1), 2 << 20):
+                b = whole.slice(s, e - s)
+                ids, n = enc.encode(b.column(1))
+                stop = np.cumsum(n + 1)
+                values = np.insert(ids, np.cumsum(n), end_id).astype(np.int32)
+                before = first + stop - n - 1
+                first += len(values)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(n), part, np.int32)), b.column(0), pa.array(before), pa.array(n + 1), pa.ListArray.from_arrays(pa.array(np.append(0, stop).astype(np.int32)), pa.array(values))],
+                    ["part", "doc_id", "first", "n_tokens", "ids"],
+                )
 
     writer = ordered.mapInArrow(encode, FILE_SCHEMA).write
     for k, v in LAYOUT.items():

@@ -223,19 +223,32 @@ def test_token_files_round_trip(spark, docs, texts, tmp_path):
 
 def test_token_file_edges(spark, odd, empty, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    for name, df, n in (("odd", odd, 6), ("empty", empty, 0)):
+    clash = odd.select("*", *(F.lit("z").alias(c) for c in ("part", "first", "n_tokens", "ids", "size", "base")))
+    for name, df, n in (("odd", clash, 6), ("empty", empty, 0)):
         token_files.write_token_files(df, f"file://{tmp_path}/{name}", path, 2)
-        assert token_files.checksums(token_files.read_token_files(spark, f"file://{tmp_path}/{name}")).count() == n
-
-
-def test_word_cache_is_exact_when_it_is_full(monkeypatch):
+        rows = token_files.checksums(token_files.read_token_files(spark, f"file://{tmp_path}/{name}")).collect()
+        assert len(rows) == n
+        start = 0
+        for r in sorted(rows, key=lambda r: r.start):  # one after the other, empty texts as the end id alone
+            assert r.start == start and (r.doc_id in (3, None) or (r.n_tokens, r.ids_crc32) == (1, zlib.crc32(b"\2\0\0\0")))
+            start += r.n_tokens
+
+
+@pytest.mark.parametrize("cache", [1 << 20, 10])
+def test_chunks_have_the_ids_of_whole_texts(cache):
+    """Also where the memory of chunks is full, and in texts that cannot be cut."""
+    import pyarrow as pa
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(token_files, "CACHE_WORDS", 10)
     path = public_tokenizers.path("byte_bpe_50k.json")
-    enc, tok = token_files.WordEncoder(path), Tokenizer.from_file(path)
-    for t in (["a b c d e f"], ["g h i j k l m n", "a  b", "<|endoftext|>x \n y", " lead", "trail ", "  x\t y"]):
-        assert enc.encode(t, b"") == [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(t, add_special_tokens=False)]
+    enc, tok = token_files.WordEncoder(path, cache), Tokenizer.from_file(path)
+    rng = np.random.default_rng(5)
+    parts = ["a", "b", " ", "  ", "\n", " ", "é", "É.", "'s", "'", "1", ".", "\t", "\u00a0", "\u2003", "中", "»", "\0", "can't", "\u3000", "\x85", "\x1c", "<|endoftext|>", "(x)"]
+    odd = [["a b c d e f"], ["g h i j k l m n", "a  b", "<|endoftext|>x \n y", " lead", "trail ", "  x\t y", "", None], ["w" * 70_000 + " x", "long " * 40_000]]
+    for t in [*odd, *(["".join(rng.choice(parts, rng.integers(0, 16))) for _ in range(4)] for _ in range(400))]:
+        ids, n = enc.encode(pa.array(t, pa.string()))
+        want = [e.ids for e in tok.encode_batch([x or "" for x in t], add_special_tokens=False)]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, []), t
 
 
 # --- 9 -------------------------------------------------------------------------
