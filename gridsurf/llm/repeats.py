@@ -12,15 +12,19 @@ symbols its windows cover (longer). Ranks are 64-bit fingerprints of the content
 so that a rank at a greater length needs no look-up at a shifted position.
 
 - A near rank that occurs once: none of the windows recurs.
-- A far rank that occurs twice: all of them do.
+- A far rank that occurs twice under a near rank: all of them do.
 - What is left over (an edge of a repeat) is ranked window by window, one
   representative for each far rank under a near rank that has several.
+
+Far ranks and windows are compared under their near rank alone, so that two
+64-bit fingerprints of different lengths must agree, and no near rank, far rank
+or window is gathered: counts are summed before the shuffle and joined back.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridsurf.llm import common
@@ -100,6 +104,7 @@ def items(sym: np.ndarray, first: np.ndarray, width: int, gram: int, block: int)
 
 
 UID = "xxhash64(doc_id, text)"
+LOW = np.iinfo(np.int64).min
 
 
 def with_uid(docs: DataFrame) -> DataFrame:
@@ -108,14 +113,25 @@ def with_uid(docs: DataFrame) -> DataFrame:
     return own.select(F.expr(UID).alias("uid"), "doc_id", "text")
 
 
-def scan_items(docs: DataFrame, symbols, width: int, gram: int, block: int, grouped: bool) -> DataFrame:
-    """far, near, doc_id, uid, at, n (windows) and times for each item of docs(uid, doc_id, text).
+def near_ranks(docs: DataFrame, symbols, width: int, gram: int, block: int) -> DataFrame:
+    """The near ranks that more than one item of docs(uid, doc_id, text) has. One row for each rank in a slice of texts is shuffled."""
+    common.tune(docs.sparkSession)
 
-    grouped: one row for each far rank in a slice of texts, the first by doc_id, uid and at.
-    symbols: Arrow string column to symbols and offsets.
-    """
+    def scan(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for s, e in common.slices(b.column(0)):
+                near = np.sort(items(*symbols(b.column(0).slice(s, e - s)), width, gram, block)[3])
+                head = np.flatnonzero(np.append(True, near[1:] != near[:-1])[: len(near)])
+                yield pa.RecordBatch.from_arrays([pa.array(near[head].view(np.int64)), pa.array(np.diff(np.append(head, len(near))).astype(np.int32))], ["near", "times"])
+
+    return docs.select("text").mapInArrow(scan, "near long, times int").groupBy("near").agg(F.sum("times").alias("times")).filter("times > 1").select("near")
+
+
+def scan_items(docs: DataFrame, symbols, width: int, gram: int, block: int) -> DataFrame:
+    """near, far, doc_id, uid, at and n (windows) of each item of docs(uid, doc_id, text); symbols: Arrow string column to symbols and offsets."""
     common.tune(docs.sparkSession)
-    names = ["far", "near", "doc_id", "uid", "at", "n", "times"]
 
     def scan(batches):
         import pyarrow as pa
@@ -124,70 +140,68 @@ def scan_items(docs: DataFrame, symbols, width: int, gram: int, block: int, grou
             text = b.column(2)
             for s, e in common.slices(text):
                 t, at, n, near, far, _ = items(*symbols(text.slice(s, e - s)), width, gram, block)
-                uid, doc = b.column(0).slice(s, e - s).to_numpy()[t], b.column(1).slice(s, e - s).fill_null(np.iinfo(np.int64).min).to_numpy()[t]
-                times = np.ones(len(t), np.int32)
-                if grouped and len(t):
-                    order = np.lexsort((at, uid, doc, far))
-                    head = np.flatnonzero(np.append(True, np.diff(far[order]) != 0))
-                    times = np.diff(np.append(head, len(t))).astype(np.int32)
-                    pick = order[head]
-                    at, n, near, far, uid, doc = at[pick], n[pick], near[pick], far[pick], uid[pick], doc[pick]
-                yield pa.RecordBatch.from_arrays([pa.array(far.view(np.int64)), pa.array(near.view(np.int64)), pa.array(doc), pa.array(uid), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(times)], names)
-
-    return docs.select("uid", "doc_id", "text").mapInArrow(scan, "far long, near long, doc_id long, uid long, at int, n int, times int")
-
-
-def classes(docs: DataFrame, symbols, width: int, gram: int, block: int) -> tuple[DataFrame, list[str]]:
-    """far ranks whose windows recur, or some of them: far, times, doc_id, uid, at (the first occurrence), edge
-    (a list of window, doc_id, uid, at: windows of the first occurrence that recur, and where each occurs first; null where
-    the near rank has no other far rank). Also the paths of the tables written.
+                uid, doc = b.column(0).slice(s, e - s).to_numpy()[t], b.column(1).slice(s, e - s).fill_null(LOW).to_numpy()[t]
+                yield pa.RecordBatch.from_arrays([pa.array(near.view(np.int64)), pa.array(far.view(np.int64)), pa.array(doc), pa.array(uid), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["near", "far", "doc_id", "uid", "at", "n"])
+
+    return docs.select("uid", "doc_id", "text").mapInArrow(scan, "near long, far long, doc_id long, uid long, at int, n int")
+
+
+class Repeats:
+    """What recurs in docs(uid, doc_id, text), as tables in the shared folder.
+
+    met: every item (near, far, doc_id, uid, at, n) whose near rank others share.
+    classes: of each (near, far) how many items have it, the first of them by doc_id, uid
+    and at, its content (what content(text, at, size) cuts out), and `edge`: i, doc_id, uid, at of its windows i that recur, and where each
+    occurs first; null where the near rank has no other far rank.
     """
-    spark = docs.sparkSession
-    seen = scan_items(docs, symbols, width, gram, block, grouped=True)
-    # All rows of a near rank in one place: they are few, as equal far ranks of a slice are one row.
-    each = seen.repartition(common.n_parts(spark), "near").groupBy("near", "far").agg(F.sum("times").alias("times"), F.min(F.struct("doc_id", "uid", "at", "n")).alias("first"))
-    own = Window.partitionBy("near")
-    each = each.withColumn("kinds", F.count("*").over(own)).filter("kinds > 1 OR times > 1")
-    each, path = common.write_table(each.select("far", "times", "first.*", (F.col("kinds") > 1).alias("several")), "repeat-classes")
-    free(spark)
-
-    wanted = each.filter("several").groupBy("uid").agg(F.collect_list(F.struct("far", "at", "n", "times")).alias("own"))
-    texts = docs.join(wanted, "uid").dropDuplicates(["uid"]).select("uid", "doc_id", "text", "own")
-
-    def windows(batches):
-        import pyarrow as pa
 
-        for b in batches:
-            text, lists = b.column(2), b.column(3)
-            for s, e in common.slices(text):
-                sym, first = symbols(text.slice(s, e - s))
-                prints, part = Prints(sym), lists.slice(s, e - s)
-                count = pa.compute.list_value_length(part).to_numpy()
-                flat = part.flatten()
-                far, at, n, times = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
-                row = np.repeat(np.arange(e - s), count)
-                pick = np.repeat(np.arange(len(row)), n)
-                i = np.arange(len(pick)) - np.repeat(np.cumsum(n) - n, n)
-                start = first[row[pick]] + at[pick] + i
-                rank = prints.of(start, start + width).view(np.int64)
-                doc = b.column(1).slice(s, e - s).fill_null(np.iinfo(np.int64).min).to_numpy()[row[pick]]
-                uid = b.column(0).slice(s, e - s).to_numpy()[row[pick]]
-                yield pa.RecordBatch.from_arrays([pa.array(rank), pa.array(far[pick]), pa.array(i.astype(np.int32)), pa.array(times[pick] > 1), pa.array(doc), pa.array(uid), pa.array((at[pick] + i).astype(np.int32))], ["rank", "far", "i", "twice", "doc_id", "uid", "at"])
-
-    ranked = texts.mapInArrow(windows, "rank long, far long, i int, twice boolean, doc_id long, uid long, at int")
-    same = Window.partitionBy("rank")
-    found = ranked.withColumn("kinds", F.count("*").over(same)).withColumn("first", F.min(F.struct("doc_id", "uid", "at")).over(same)).filter("kinds > 1 OR twice")
-    edges = found.groupBy("far").agg(F.collect_list(F.struct("i", "first.doc_id", "first.uid", "first.at")).alias("edge"))
-    done = each.join(edges, "far", "left").filter("NOT several OR times > 1 OR edge IS NOT NULL")
-    done, path2 = common.write_table(done.select("far", "times", "doc_id", "uid", "at", "n", "edge"), "repeat-edges")
-    common.drop_table(spark, path)
-    free(spark)
-    return done, [path2]
-
-
-def free(spark) -> None:
-    """Lets Spark delete shuffle files that nothing needs any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def __init__(self, docs: DataFrame, symbols, content, width: int, gram: int, block: int):
+        spark = docs.sparkSession
+        # a rank that many share is summed before the shuffle; its rows then meet it in a join, which Spark may split
+        near = near_ranks(docs, symbols, width, gram, block)
+        near, near_path = common.write_table(near, "repeat-near")
+        met = scan_items(docs, symbols, width, gram, block).join(near, "near")
+        self.met, self.met_path = common.write_table(met, "repeat-items")
+        common.drop_table(spark, near_path)
+        common.free(spark)
+
+        each = self.met.groupBy("near", "far").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "uid", "at", "n")).alias("first"))
+        each, each_path = common.write_table(each.select("near", "far", "times", "first.*"), "repeat-classes")
+        kinds = each.groupBy("near").agg(F.count("*").alias("kinds"))
+        each = each.join(kinds, "near").filter("times > 1 OR kinds > 1")
+        wanted = each.groupBy("uid").agg(F.collect_list(F.struct("near", "far", "times", "at", "n", "kinds")).alias("own"))
+        texts = docs.join(wanted, "uid").dropDuplicates(["uid"]).select("uid", "doc_id", "text", "own")
+
+        def ranked(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                for s, e in common.slices(b.column(2)):
+                    part = b.slice(s, e - s)
+                    sym, first = symbols(part.column(2))
+                    prints, lists = Prints(sym), part.column(3)
+                    row = np.repeat(np.arange(e - s), pa.compute.list_value_length(lists).to_numpy())
+                    flat = lists.flatten()
+                    at, n, kinds = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 4, 5))
+                    count = np.where(kinds > 1, n, 0)  # windows to rank
+                    start = np.repeat(first[row] + at - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                    rank = prints.of(start, start + width).view(np.int64)
+                    ranks = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(rank))
+                    cut = pa.array(content(part.column(2), row, at, n + (width - 1)), pa.binary())
+                    doc, uid = part.column(1).fill_null(LOW).to_numpy()[row], part.column(0).to_numpy()[row]
+                    yield pa.RecordBatch.from_arrays([flat.field(0), flat.field(1), flat.field(2), pa.array(doc), pa.array(uid), flat.field(3), flat.field(4), cut, ranks], ["near", "far", "times", "doc_id", "uid", "at", "n", "content", "ranks"])
+
+        common.tune(spark)
+        held = texts.mapInArrow(ranked, "near long, far long, times long, doc_id long, uid long, at int, n int, content binary, ranks array<long>")
+        held, held_path = common.write_table(held, "repeat-content")
+        common.drop_table(spark, each_path)
+        common.free(spark)
+
+        windows = held.select("near", "far", "times", "doc_id", "uid", "at", F.posexplode("ranks").alias("i", "rank"))
+        firsts = windows.groupBy("near", "rank").agg(F.count("*").alias("kinds"), F.min(F.struct("doc_id", "uid", (F.col("at") + F.col("i")).alias("at"))).alias("first"))
+        found = windows.join(firsts, ["near", "rank"]).filter("kinds > 1 OR times > 1")
+        edges = found.groupBy("near", "far").agg(F.collect_list(F.struct("i", "first.doc_id", "first.uid", "first.at")).alias("edge"))
+        done = held.drop("ranks").join(edges, ["near", "far"], "left").filter("times > 1 OR edge IS NOT NULL")
+        self.classes, self.classes_path = common.write_table(done, "repeat-edges")
+        common.drop_table(spark, held_path)
+        common.free(spark)

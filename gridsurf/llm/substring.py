@@ -1,12 +1,14 @@
 """Substring dedup by repeated-phrase automata (operator 6).
 
 Passages of `width` words or more that recur are confirmed over all documents
-(see repeats.py: symbols are word fingerprints), each with the place where it
-occurs first. A shard is a run of documents of a few megabytes: the confirmed
-passages that touch it are compiled into an Aho-Corasick automaton over word
-numbers with pyahocorasick, and all its documents stream through that automaton,
-which locates every occurrence. A word goes if an occurrence covers it that is
-not the first one of its window.
+(see repeats.py: symbols are word fingerprints), each with its words and the place
+where it occurs first. Documents are dealt into shards of about SHARD bytes by their
+row hash. Each shard gets the confirmed passages of which it holds the fingerprint
+somewhere, as words; they are compiled into Aho-Corasick automata with pyahocorasick,
+of PASSAGE_WORDS words at most, and all documents of the shard stream through
+them. The automata alone say where a passage occurs, by its words: a fingerprint
+shared by chance brings a passage to a shard where nothing matches it. A word
+goes if an occurrence covers it that is not the first one of its window.
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D, unchanged. The first
 occurrence is that in the smallest doc_id, then (rows with the same doc_id and
@@ -32,6 +34,10 @@ from gridsurf.llm import common, repeats
 WIDTH = 20
 GRAM = 1
 BLOCK = 10
+#: Bytes of text of a shard, on average.
+SHARD = 4 << 20
+#: Words of passages in one automaton; their distinct words are its alphabet, which must stay below a million.
+PASSAGE_WORDS = 1 << 19
 
 
 def symbols(column) -> tuple[np.ndarray, np.ndarray]:
@@ -40,105 +46,115 @@ def symbols(column) -> tuple[np.ndarray, np.ndarray]:
     return common.word_hashes(raw, starts, ends), first
 
 
-def locate(numbers: list[np.ndarray], passages: list[tuple[np.ndarray, tuple]]) -> list[list[tuple[int, int, tuple]]]:
-    """Start, stop and value of each occurrence of each passage (word numbers, value) in each text of a shard."""
-    import ahocorasick
+def content(column, row: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """`size` words from word `at` of text `row`, with the white space between them."""
+    raw, offsets = common.text_buffer(column)
+    starts, ends, first = common.word_bounds(raw, offsets)
+    text, begin = raw.tobytes(), first[row] + at
+    return [text[a:z] for a, z in zip(starts[begin].tolist(), ends[begin + size - 1].tolist(), strict=True)]
 
-    machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for words, value in passages:
-        key = tuple(words.tolist())
-        machine.add_word(key, (len(key), value))
-    if not len(machine):
-        return [[] for _ in numbers]
-    machine.make_automaton()
-    return [[(end + 1 - n, end + 1, value) for end, (n, value) in machine.iter(tuple(x.tolist()))] for x in numbers]
 
+def _signs(codes: np.ndarray) -> str:
+    """Word numbers as characters; surrogates are left out."""
+    return (codes + np.where(codes >= 0xD800, 0x800, 0)).astype("<u4").tobytes().decode("utf-32-le")
 
-def shard(texts: list[str], owners: list[tuple[int, int]], passages: list[list[tuple[int, int, tuple]]]) -> list[tuple[int, int, str]]:
-    """words, removed words and hash of the rest for each text.
 
-    owners: (doc_id, uid) of each text; passages: of each text (start, words, (doc_id, uid, start of the first occurrence)).
-    """
-    words = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    ids: dict[bytes, int] = {}
-    if any(passages):
-        numbers = [np.array([ids.setdefault(w, len(ids)) for w in ws], np.int64) for ws in words]
-        every = {}
-        for i, own in enumerate(passages):
-            for start, n, value in own:
-                key = numbers[i][start : start + n]
-                at = key.tobytes()
-                if at not in every or value < every[at][1]:  # one window may be known as a whole item and as part of others
-                    every[at] = (key, value)
-        hits = locate(numbers, list(every.values()))
-    else:
-        hits = [[] for _ in words]
-    out = []
-    for ws, owner, found in zip(words, owners, hits, strict=True):
-        edge = np.zeros(len(ws) + 1, np.int32)
-        for start, stop, value in found:
-            if (*owner, start) > value:  # not the first occurrence
-                edge[start] += 1
-                edge[stop] -= 1
-        keep = np.cumsum(edge)[:-1] == 0
-        kept = b" ".join([w for w, k in zip(ws, keep.tolist()) if k] if found else ws)
-        out.append((len(ws), int(len(ws) - keep.sum()), kept))
-    return out
+def locate(words: list[list[bytes]], passages: list[tuple[list[bytes], list[tuple[int, int, tuple]]]]) -> list[list[tuple[int, int, tuple]]]:
+    """Start, stop and value of each occurrence, in each text, of the passages.
 
+    passages: words, and of each run of them to be found its start, its size and its value; of equal runs the least value counts.
+    """
+    import ahocorasick
 
-def with_passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """docs(uid, doc_id, text, ...) with `hits`: the confirmed passages that start in each document."""
+    hits: list[list[tuple[int, int, tuple]]] = [[] for _ in words]
+    at = 0
+    while at < len(passages):
+        number: dict[bytes, int] = {}
+        keys: dict[str, tuple] = {}
+        size = 0
+        while at < len(passages) and (not size or size + len(passages[at][0]) <= PASSAGE_WORDS):
+            own, runs = passages[at]
+            line = _signs(np.array([number.setdefault(w, len(number) + 1) for w in own], np.int64))
+            for start, n, value in runs:
+                key = line[start : start + n]
+                if key not in keys or value < keys[key]:
+                    keys[key] = value
+            size += len(own)
+            at += 1
+        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        for key, value in keys.items():
+            machine.add_word(key, (len(key), value))
+        machine.make_automaton()
+        get = number.get
+        for found, ws in zip(hits, words, strict=True):
+            found += [(end + 1 - n, end + 1, value) for end, (n, value) in machine.iter(_signs(np.array([get(w, 0) for w in ws], np.int64)))]
+    return hits
+
+
+def cut(words: list[bytes], owner: tuple[int, int], found: list[tuple[int, int, tuple]]) -> tuple[int, int, bytes]:
+    """words, removed words and the rest of one text; owner: its doc_id and row hash."""
+    edge = np.zeros(len(words) + 1, np.int64)
+    for start, stop, value in found:
+        if (*owner, start) > value:  # not the first occurrence
+            edge[start] += 1
+            edge[stop] -= 1
+    keep = np.cumsum(edge)[:-1] == 0
+    kept = words if keep.all() else [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+    return len(words), len(words) - len(kept), b" ".join(kept)
+
+
+def confirmed(found: repeats.Repeats, width: int) -> DataFrame:
+    """near, far, content and runs of the passages: (start, words, doc_id, uid, at of the first occurrence)."""
+    here = lambda i: F.struct(F.col("doc_id"), F.col("uid"), F.col("at") + i)
+    earlier = F.filter(F.coalesce("edge", F.array().cast("array<struct<i:int,doc_id:bigint,uid:bigint,at:int>>")), lambda e: F.struct(e["doc_id"], e["uid"], e["at"]) < here(e["i"]))
+    whole = F.struct(F.lit(0).alias("start"), (F.col("n") + (width - 1)).alias("words"), "doc_id", "uid", "at")
+    some = F.transform(earlier, lambda e: F.struct(e["i"].alias("start"), F.lit(width).alias("words"), e["doc_id"].alias("doc_id"), e["uid"].alias("uid"), e["at"].alias("at")))
+    runs = F.when(F.col("times") > 1, F.concat(F.array(whole), some)).otherwise(some)
+    return found.classes.select("near", "far", "content", runs.alias("runs")).filter("size(runs) > 0")
+
+
+def remove(docs: DataFrame, keep: list[str], texts: bool, width: int = WIDTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+    """The columns `keep`, n_words, n_removed, kept_sha256 and, with `texts`, the kept text of each row of docs(uid, doc_id, text, ...)."""
     spark = docs.sparkSession
-    own = docs.select("uid", "doc_id", "text")
-    found, _ = repeats.classes(own, symbols, width, gram, block)
-    # what recurs of the first occurrence alone: windows with an earlier one elsewhere
-    earlier = F.filter("edge", lambda e: F.struct(e["doc_id"], e["uid"], e["at"]) < F.struct(F.col("doc_id"), F.col("uid"), F.col("at") + e["i"]))
-    rules = found.select("far", "times", F.struct("doc_id", "uid", "at").alias("first"), earlier.alias("some")).filter("times > 1 OR size(some) > 0")
-    items = repeats.scan_items(own, symbols, width, gram, block, grouped=False).select("far", F.struct("doc_id", "uid", "at").alias("here"), "n")
-    met = items.join(rules, "far")
-    lead = F.col("here") == F.col("first")
-    hit = F.when(lead, F.transform("some", lambda e: F.struct((F.col("here.at") + e["i"]).alias("at"), F.lit(width).alias("words"), e["doc_id"].alias("doc_id"), e["uid"].alias("uid"), e["at"].alias("first"))))
-    hit = hit.otherwise(F.array(F.struct(F.col("here.at").alias("at"), (F.col("n") + (width - 1)).alias("words"), F.col("first.doc_id").alias("doc_id"), F.col("first.uid").alias("uid"), F.col("first.at").alias("first"))))
-    hits = met.select(F.col("here.uid").alias("uid"), hit.alias("hit")).filter("size(hit) > 0").groupBy("uid").agg(F.flatten(F.collect_set("hit")).alias("hits"))
-    hits, _ = common.write_table(hits, "passages")
-    repeats.free(spark)
-    return docs.join(hits, "uid", "left")
-
-
-def _rows(batch_texts, owners, hits) -> list[tuple[int, int, bytes]]:
-    passages = [[(h["at"], h["words"], (h["doc_id"], h["uid"], h["first"])) for h in hs or []] for hs in hits]
-    return shard(batch_texts, owners, passages)
-
-
-def run_shards(marked: DataFrame, keep: list[str], texts: bool) -> DataFrame:
-    """The columns `keep`, n_words, n_removed, kept_sha256 and, with `texts`, the kept text for each row of with_passages()."""
-    common.tune(marked.sparkSession)
-    own = marked.select("uid", "doc_id", "text", "hits", *(F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep)))
-    kinds = dict(marked.dtypes)
-    schema = ", ".join(f"_keep_{k} {kinds[c]}" for k, c in enumerate(keep)) + ", n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
-    low = np.iinfo(np.int64).min
-
-    def scan(batches):
+    found = repeats.Repeats(docs.select("uid", "doc_id", "text"), symbols, content, width, gram, block)
+    bytes_all = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(common.n_parts(spark), -(-bytes_all // SHARD))
+    shard = F.pmod(F.col("uid"), F.lit(shards)).alias("shard")
+    routed = found.met.select(shard, "near", "far").distinct().join(confirmed(found, width), ["near", "far"]).select("shard", "content", "runs")
+
+    # rows equal in doc_id and text would meet in one shard, however many they are: one of them goes there
+    repeated = bool(docs.groupBy("uid").count().filter("count > 1").limit(1).count())
+    kinds = dict(docs.dtypes)
+    carried = [] if repeated else keep
+    own = docs.select("uid", "doc_id", "text", shard, *(F.col(c).alias(f"_keep_{k}") for k, c in enumerate(carried)))
+    if repeated:
+        own = own.dropDuplicates(["uid"])
+    names = ["uid", *(f"_keep_{k}" for k in range(len(carried))), "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * texts
+    schema = "uid long, " + "".join(f"_keep_{k} {kinds[c]}, " for k, c in enumerate(carried)) + "n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
+
+    def stream(left, right):
         import pyarrow as pa
 
-        for b in batches:
-            for s, e in common.slices(b.column(2)):
-                part = b.slice(s, e - s)
-                owners = list(zip(part.column(1).fill_null(low).to_pylist(), part.column(0).to_pylist(), strict=True))
-                got = _rows(part.column(2).to_pylist(), owners, part.column(3).to_pylist())
-                cols = [part.column(4 + k) for k in range(len(keep))]
-                cols += [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([hashlib.sha256(g[2]).hexdigest() for g in got], pa.string())]
-                if texts:
-                    cols.append(pa.array([g[2].decode("utf-8", "replace") for g in got], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, [f"_keep_{k}" for k in range(len(keep))] + ["n_words", "n_removed", "kept_sha256"] + ["kept_text"] * texts)
+        words = [t.split() for t in left["text"].cast(pa.binary()).to_pylist()]
+        passages = [(c.split(), [(r["start"], r["words"], (r["doc_id"], r["uid"], r["at"])) for r in rs]) for c, rs in zip(right["content"].to_pylist(), right["runs"].to_pylist(), strict=True)]
+        owners = zip(left["doc_id"].fill_null(repeats.LOW).to_pylist(), left["uid"].to_pylist(), strict=True)
+        got = [cut(w, owner, f) for w, owner, f in zip(words, owners, locate(words, passages), strict=True)]
+        cols = [left["uid"], *(left[f"_keep_{k}"] for k in range(len(carried)))]
+        cols += [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([hashlib.sha256(g[2]).hexdigest() for g in got], pa.string())]
+        if texts:
+            cols.append(pa.array([g[2].decode("utf-8", "replace") for g in got], pa.string()))
+        return pa.Table.from_arrays(cols, names)
 
-    out = own.mapInArrow(scan, schema)
-    return out.withColumnsRenamed({f"_keep_{k}": c for k, c in enumerate(keep)})
+    out = own.groupBy("shard").cogroup(routed.groupBy("shard")).applyInArrow(stream, schema)
+    if repeated:
+        rows = docs.select("uid", *(F.col(c).alias(f"_keep_{k}") for k, c in enumerate(keep)))
+        out = rows.join(out, "uid")
+    return out.select(*(F.col(f"_keep_{k}").alias(c) for k, c in enumerate(keep)), *names[1 + len(carried) :])
 
 
 def remove_passages(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for each row of docs."""
-    return run_shards(with_passages(repeats.with_uid(docs)), ["doc_id"], texts=False)
+    return remove(repeats.with_uid(docs), ["doc_id"], texts=False)
 
 
 def brute(texts: list[tuple[int, str | None]], width: int = WIDTH) -> dict[int, tuple[int, int, str]]:
