@@ -42,6 +42,38 @@ def test_search_recall_and_scores(spark):
     assert [b[1] for b in got[700]][:20] == [5, *range(701, 720)]
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_search_recall_on_the_supplied_vectors(spark, sf):
+    got: dict = {}
+    for r in ann.op1_multi_index(spark, f"/root/testdata/{sf}").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    rows = [(r.vec_id, np.array(r.embedding, "f8")) for r in spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet").collect()]
+    want = ann.brute(rows, {i for i, _ in rows if i % 20 == 0})
+    assert set(got) == set(want)
+    assert sum(len(got[q] & set(w)) for q, w in want.items()) / sum(map(len, want.values())) >= 0.9
+
+
+def test_search_of_all_cells_is_exact(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(300, 8))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, k=20, fraction=1.0).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+    assert {q: [m[k] for k in sorted(m)] for q, m in got.items()} == ann.brute(list(enumerate(v)), set(range(0, 300, 20)))
+
+
+def test_search_of_repeated_ids_and_huge_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0]), (3, [0.0, 3.0])]
+    df = clash(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(df, F.col("vec_id") == 1).collect())
+    # two rows ask, each is the other's candidate
+    assert got == sorted([(1, 1, 2, 2.0), (1, 2, 1, 0.0), (1, 3, 3, 0.0), (1, 1, 3, 3.0), (1, 2, 1, 0.0), (1, 3, 2, 0.0)])
+    huge = spark.createDataFrame([(0, [1e300, 0.0]), (1, [1e300, 1.0]), (2, [1.0, 0.0]), (3, [-1e300, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in ann.search(huge, F.col("vec_id") == 0).collect())
+    assert got == [(1, 1, float("inf")), (2, 2, 1e300), (3, 3, float("-inf"))]
+
+
 def test_search_leaves_out_what_is_no_vector(spark):
     bad = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [1.0]), (7, [0.5, 0.5]), (None, [1.0, 1.0]), (8, [1.0, 0.0]), (20, [0.0, 1.0]), (20, [0.0, 1.0])]
     df = clash(spark.createDataFrame(bad, "vec_id long, embedding array<float>"))
