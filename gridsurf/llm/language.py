@@ -105,18 +105,11 @@ def infer(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.nd
     price = PRICE * np.log(segments + 2.0)
     best, value = share, np.full(n, -np.inf)
     for m in range(1, k + 1):
-        if m < k:
-            some = np.flatnonzero(np.isin(np.arange(n), doc) & (share.max(1) < 0.98)) if m > 1 else np.arange(n)
-            if not len(some):
-                continue
-            allowed = place < m
-            if m == 1:
-                got, ll = np.where(allowed, share, 0.0), np.zeros(n)
-                np.add.at(ll, doc, like[np.arange(len(doc)), rank[doc, 0]])
-            else:
-                keep = np.isin(doc, some)
-                got, ll = _em(like[keep], doc[keep], n, allowed)
-                ll[~np.isin(np.arange(n), some)] = -np.inf
+        if m == 1:
+            got, ll = np.where(place < 1, share, 0.0), np.zeros(n)
+            np.add.at(ll, doc, like[np.arange(len(doc)), rank[doc, 0]])
+        elif m < k:
+            got, ll = _em(like, doc, n, place < m)
         else:
             got, ll = share, full
         gain = ll - (m - 1) * price > value
