@@ -5,23 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridsurf.operators.graph import saved
+
 
 def voxel_pass(points: DataFrame, cell: float, shift: float) -> DataFrame:
     """Keeps, in each voxel and side, the points of the source that sees it best.
 
     A voxel's most face-on point (the first by pid of equals) gives its direction; points
     facing against it are the other side. Where several sources meet, the one with the
-    largest sum of face_on stays, the first of equals. Only grouped aggregates travel: no
-    voxel's points meet in one place.
+    largest sum of face_on stays, the first of equals. Points are dealt once by voxel, and
+    all windows of a pass hold under that deal. A source has about one point for each pixel
+    that saw the voxel, so that a voxel is a small group.
     """
-    k = lambda c: F.floor((F.col(c) + shift * cell) / cell).cast("bigint").alias(f"i{c}")
-    p = points.select("*", k("x"), k("y"), k("z"))
     key = ["ix", "iy", "iz"]
-    seed = p.groupBy(*key).agg(F.min(F.struct((-F.col("face_on")).alias("f"), "pid", "nx", "ny", "nz")).alias("s")).select(*key, F.col("s.nx").alias("sx"), F.col("s.ny").alias("sy"), F.col("s.nz").alias("sz"))
-    p = p.join(seed, key).withColumn("side", F.when(F.col("nx") * F.col("sx") + F.col("ny") * F.col("sy") + F.col("nz") * F.col("sz") >= 0, 0).otherwise(1)).drop("sx", "sy", "sz")
-    score = p.groupBy(*key, "side", "source").agg(F.round(F.sum("face_on"), 9).alias("f"))
-    best = score.groupBy(*key, "side").agg(F.min(F.struct((-F.col("f")).alias("f"), "source")).alias("b")).select(*key, "side", F.col("b.source").alias("source"))
-    return p.join(best, [*key, "side", "source"], "left_semi").select(*points.columns)
+    k = lambda c: F.floor((F.col(c) + shift * cell) / cell).cast("bigint").alias(f"i{c}")
+    p = points.select("*", k("x"), k("y"), k("z")).repartition(*key)
+    seed = F.min(F.struct((-F.col("face_on")).alias("f"), "pid", "nx", "ny", "nz")).over(Window.partitionBy(*key))
+    p = p.withColumn("_s", seed)
+    dot = sum((F.col(c) * F.col(f"_s.{c}") for c in ("nx", "ny", "nz")), F.lit(0.0))
+    p = p.withColumn("_side", F.when(dot >= 0, 0).otherwise(1)).drop("_s")
+    p = p.withColumn("_f", F.round(F.sum("face_on").over(Window.partitionBy(*key, "_side", "source")), 9))
+    best = F.min(F.struct((-F.col("_f")).alias("f"), "source")).over(Window.partitionBy(*key, "_side"))
+    return p.withColumn("_b", best).filter("source = _b.source").select(*points.columns)
 
 
 def bucket_offsets(points: DataFrame, bucket) -> DataFrame:
@@ -31,14 +36,35 @@ def bucket_offsets(points: DataFrame, bucket) -> DataFrame:
     return n.select("bucket", "n", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("before"))
 
 
-def composite(rows: DataFrame, key: list[str], order: list[str], value: str, alpha: str) -> DataFrame:
+def places(rows: DataFrame, order: list) -> DataFrame:
+    """rows with `place`, their number from 0 in a total order: ranges are dealt out, counted, and numbered apart. order must have no ties."""
+    dealt = saved(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))  # the deal is drawn once
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    start = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))  # a row for each range
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return dealt.withColumn("_k", own).join(F.broadcast(start), "_part").withColumn("place", F.col("_start") + F.col("_k") - 1).drop("_part", "_start", "_k")
+
+
+#: Depth slices of a composite.
+SLICES = 32
+
+
+def composite(rows: DataFrame, key: list[str], order: list[str], value: str, alpha: str, reach: tuple[float, float] = (-1.0, 1.0)) -> DataFrame:
     """Back-to-front blending of each key's rows: key, value, cover.
 
     The blend is a weighted sum, a row's weight being its alpha times what all in front
     let through; that product is a running sum of logarithms, so a window does, and no
-    list of a pixel's rows is built. order: back to front.
+    list of a pixel's rows is built. order: back to front, its first column a number of which `reach` gives
+    the usual range. Slices of that range are blended apart, and what they add
+    up to, SLICES rows of a key at most, is blended once more: a pixel that many rows fall on is several tasks' work.
     """
-    front = Window.partitionBy(*key).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    a = F.least(F.col(alpha), F.lit(1 - 1e-9))
-    w = F.col(alpha) * F.exp(F.coalesce(F.sum(F.ln(1 - a)).over(front), F.lit(0.0)))
-    return rows.select(*key, value, w.alias("_w")).groupBy(*key).agg(F.sum(F.col(value) * F.col("_w")).alias(value), F.sum("_w").alias("cover"))
+    low, high = reach
+    cut = F.least(F.greatest(F.floor((F.col(order[0]) - low) / (high - low) * SLICES), F.lit(0)), F.lit(SLICES - 1)).cast("int")
+    rows = rows.withColumn("_slice", cut)
+    front = Window.partitionBy(*key, "_slice").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    rows = rows.withColumn("_t", F.ln(1 - F.least(F.col(alpha), F.lit(1 - 1e-9))))
+    w = F.col(alpha) * F.exp(F.coalesce(F.sum("_t").over(front), F.lit(0.0)))
+    part = rows.withColumn("_w", w).groupBy(*key, "_slice").agg(F.sum(F.col(value) * F.col("_w")).alias(value), F.sum("_w").alias("cover"), F.sum("_t").alias("_t"))
+    nearer = Window.partitionBy(*key).orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
+    part = part.withColumn("_w", F.exp(F.coalesce(F.sum("_t").over(nearer), F.lit(0.0))))
+    return part.groupBy(*key).agg(F.sum(F.col(value) * F.col("_w")).alias(value), F.sum(F.col("cover") * F.col("_w")).alias("cover"))

@@ -1,44 +1,68 @@
-"""Image pyramids and quadtrees as grouped joins, a level at a time."""
+"""Image pyramids as row and column windows, quadtrees as one grouping of all ancestors."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridsurf.operators import windows as N
+from gridsurf.operators.graph import saved
+
 KERNEL = (1, 4, 6, 4, 1)
 
 
-def _reflect(c: Column, n: int) -> Column:
-    """Half-sample mirror at both ends."""
-    return F.when(c < 0, -1 - c).when(c >= n, 2 * n - 1 - c).otherwise(c)
+def _along(axis: str):
+    return N.along_x() if axis == "x" else N.along_y()
 
 
-def _pass(df: DataFrame, axis: str, n: int, scale: float) -> DataFrame:
-    """One axis of the 5-tap kernel: every pixel sends its weighted value to those that read it, mirrored readers included."""
-    other = "y" if axis == "x" else "x"
-    at = F.col(axis)
-    read = []  # (target, weight): the target reads position target + k
-    for k, w in zip(range(-2, 3), KERNEL, strict=True):
-        for place in (at, -1 - at, 2 * n - 1 - at):  # itself, its images beyond either end
-            read.append(F.struct((place - k).cast("int").alias("t"), F.lit(w / 16.0 * scale).alias("w"), place.cast("int").alias("p")))
-    ok = lambda e: (e["t"] >= 0) & (e["t"] < n) & (_reflect(e["p"], n) == at)
-    sent = df.select("vec_id", other, "v", F.explode(F.array_distinct(F.filter(F.array(*read), ok))).alias("e"))
-    return sent.groupBy("vec_id", other, F.col("e.t").alias(axis)).agg(F.sum(F.col("v") * F.col("e.w")).alias("v"))
+def _at(k: int, axis: str) -> Column:
+    """The value k places on, null beyond the border; planes are dense."""
+    return F.lag("v", -k).over(_along(axis)) if k < 0 else F.lead("v", k).over(_along(axis)) if k else F.col("v")
 
 
-def smooth(df: DataFrame, n: int, scale: float = 1.0) -> DataFrame:
-    """[1 4 6 4 1] / 16 along both axes of n x n planes (vec_id, x, y, v), reflected edges; `scale` per axis."""
-    return _pass(_pass(df, "x", n, scale), "y", n, scale).select("vec_id", "x", "y", "v")
+def _smooth(df: DataFrame, axis: str) -> DataFrame:
+    """The 5 taps along one axis; places beyond an end are mirrored about it, between two pixels."""
+    a2, a1, v, b1, b2 = (_at(k, axis) for k in range(-2, 3))
+    before, after = F.coalesce(a1, v), F.coalesce(b1, v)
+    far_before, far_after = F.coalesce(a2, F.when(a1.isNull(), F.coalesce(b1, v)).otherwise(a1)), F.coalesce(b2, F.when(b1.isNull(), F.coalesce(a1, v)).otherwise(b1))
+    return df.select("vec_id", "x", "y", ((far_before + far_after) * KERNEL[0] / 16.0 + (before + after) * KERNEL[1] / 16.0 + v * KERNEL[2] / 16.0).alias("v"))
 
 
-def down(df: DataFrame, n: int) -> DataFrame:
+def smooth(df: DataFrame, n: int) -> DataFrame:
+    """[1 4 6 4 1] / 16 along both axes of n x n planes (vec_id, x, y, v), reflected edges. One deal by plane serves both."""
+    return _smooth(_smooth(N.by_plane(df), "x"), "y")
+
+
+def _halve(df: DataFrame) -> DataFrame:
     half = lambda c: (F.col(c) / 2).cast("int").alias(c)
-    return smooth(df, n).filter("x % 2 = 0 AND y % 2 = 0").select("vec_id", half("x"), half("y"), "v")
+    return df.filter("x % 2 = 0 AND y % 2 = 0").select("vec_id", half("x"), half("y"), "v")
+
+
+def down(df: DataFrame, n: int) -> DataFrame:
+    return _halve(smooth(df, n))
+
+
+def _double(df: DataFrame, axis: str, n: int) -> DataFrame:
+    """One axis to n places: values at even places, zeros between, the taps at twice their weight. A value makes its own place and the one after."""
+    at, last = F.col(axis), (n + 1) // 2 - 1
+    a, v, b = (_at(k, axis) for k in (-1, 0, 1))
+    k0, k1, k2 = KERNEL[:3]
+    # mirrored places hold a value where they are even: -2 is 1 and -1 is 0 at the front, n is n - 1 and n + 1 is n - 2 at the back
+    first, odd_first = F.when(at == 0, k1 * v).otherwise(k0 * a), F.when(at == 0, k0 * v).otherwise(0.0)
+    if n % 2:  # the last place is even: n is itself, n + 1 is odd
+        then, odd_then = F.when(at == last, k1 * v).otherwise(k0 * b), F.when(at == last - 1, (k0 + k1) * b).otherwise(k1 * b)
+    else:  # the last place is odd: n is odd, n + 1 is the value before it
+        then, odd_then = F.when(at == last, F.lit(0.0)).otherwise(k0 * b), F.when(at == last, k0 * v).otherwise(k1 * b)
+    even, odd = (first + k2 * v + then) / 8.0, (odd_first + k1 * v + odd_then) / 8.0
+    other = "y" if axis == "x" else "x"
+    df = df.select("vec_id", axis, other, even.alias("_e"), odd.alias("_o"))
+    both = F.array(F.struct((at * 2).alias("p"), F.col("_e").alias("v")), F.struct((at * 2 + 1).alias("p"), F.col("_o").alias("v")))
+    return df.select("vec_id", other, F.explode(both).alias("e")).filter(F.col("e.p") < n).select("vec_id", F.col("e.p").cast("int").alias(axis), other, "e.v")
 
 
 def up(df: DataFrame, n: int) -> DataFrame:
     """To n x n: values at even places, zeros between, smoothed at four times the weight."""
-    return smooth(df.select("vec_id", (F.col("x") * 2).alias("x"), (F.col("y") * 2).alias("y"), "v"), n, 2.0)
+    return _double(_double(N.by_plane(df), "x", n), "y", n).select("vec_id", "x", "y", "v")
 
 
 def gaussian(df: DataFrame, n: int, least: int = 2) -> list[tuple[int, DataFrame]]:
@@ -71,16 +95,15 @@ def collapse(levels: list[tuple[int, DataFrame]]) -> DataFrame:
 def nodes(df: DataFrame, levels: int, values: list[str]) -> DataFrame:
     """Every quadtree node of planes: vec_id, level, cx, cy, n, inside, m_<value>, s_<value> (mean and variance of its pixels).
 
-    df: vec_id, x, y, inside (boolean) and value columns; sums go up level by level.
+    df: vec_id, x, y, inside (boolean) and value columns.
     """
-    sums = ["n", "inside", *(f"{k}_{v}" for v in values for k in ("t", "q"))]
     own = lambda v: F.when(F.col("inside"), F.col(v)).otherwise(0.0)
-    level = df.select("vec_id", F.lit(0).alias("level"), F.col("x").alias("cx"), F.col("y").alias("cy"), F.lit(1).cast("long").alias("n"), F.col("inside").cast("long").alias("inside"), *(e for v in values for e in (own(v).alias(f"t_{v}"), (own(v) * own(v)).alias(f"q_{v}"))))
-    out = level
-    half = lambda c: F.floor(F.col(c) / 2).cast("int").alias(c)
-    for k in range(1, levels + 1):
-        level = level.groupBy("vec_id", half("cx"), half("cy")).agg(*(F.sum(c).alias(c) for c in sums)).withColumn("level", F.lit(k))
-        out = out.unionByName(level)
+    side = F.pow(F.lit(2), F.col("level"))
+    up = lambda c: F.floor(F.col(c) / side).cast("int").alias(f"c{c}")
+    # every pixel counts in all the nodes that hold it; sums are made before the shuffle
+    each = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    each = each.select("vec_id", "level", up("x"), up("y"), F.col("inside").cast("long").alias("inside"), *(e for v in values for e in (own(v).alias(f"t_{v}"), (own(v) * own(v)).alias(f"q_{v}"))))
+    out = each.groupBy("vec_id", "level", "cx", "cy").agg(F.count("*").alias("n"), F.sum("inside").alias("inside"), *(F.sum(f"{k}_{v}").alias(f"{k}_{v}") for v in values for k in ("t", "q")))
     m = lambda v: F.col(f"t_{v}") / F.greatest(F.col("inside"), F.lit(1))
     return out.select("vec_id", "level", "cx", "cy", "n", "inside", *(e for v in values for e in (m(v).alias(f"m_{v}"), F.greatest(F.col(f"q_{v}") / F.greatest(F.col("inside"), F.lit(1)) - m(v) * m(v), F.lit(0.0)).alias(f"s_{v}"))))
 
@@ -90,7 +113,7 @@ def cells(tree: DataFrame, levels: int, split: Column) -> DataFrame:
 
     split: whether a node must split for itself; single pixels never do.
     """
-    tree = tree.withColumn("own", split & (F.col("level") > 0))
+    tree = saved(tree.withColumn("own", split & (F.col("level") > 0)))  # read three times
     # the needs of all below come up in one grouping of every node's ancestors
     ups = tree.filter("own").select("vec_id", F.explode(F.sequence("level", F.lit(levels))).alias("up"), "level", "cx", "cy")
     shift = F.pow(F.lit(2), F.col("up") - F.col("level"))

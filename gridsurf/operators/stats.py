@@ -19,11 +19,12 @@ def quantiles(df: DataFrame, keys: list[str], value: Column, wanted: dict[str, f
 
 
 def fit_line(df: DataFrame, keys: list[str], x: Column, y: Column) -> DataFrame:
-    """keys, n, slope, shift, rmse of a least-squares line; the identity and an infinite rmse where it is not determined.
+    """keys, n, slope, shift, rmse of a least-squares line over finite pairs; the identity and an infinite rmse where it is not determined.
 
     The residual comes from the same five sums, so one aggregation does.
     """
-    s = df.select(*keys, x.alias("_x"), y.alias("_y")).groupBy(*keys).agg(
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    s = df.select(*keys, x.cast("double").alias("_x"), y.cast("double").alias("_y")).filter(finite(F.col("_x")) & finite(F.col("_y"))).groupBy(*keys).agg(
         F.count("*").alias("n"), F.sum("_x").alias("sx"), F.sum("_y").alias("sy"), F.sum(F.col("_x") * F.col("_x")).alias("sxx"), F.sum(F.col("_x") * F.col("_y")).alias("sxy"), F.sum(F.col("_y") * F.col("_y")).alias("syy")
     )
     n, sx, sy, sxx, sxy, syy = (F.col(c) for c in ("n", "sx", "sy", "sxx", "sxy", "syy"))

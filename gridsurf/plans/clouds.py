@@ -230,10 +230,29 @@ def _(s, d):
     return quad(planes(s, d)).select("vec_id", "level", "cx", "cy", F.col("inside").alias("n"), r6(F.col("m_depth"), "depth"))
 
 
-@query("quadtree_estimate", sql("planes", _QT + " SELECT vec_id, count(*) AS cells FROM ce WHERE vec_id % 4 = 0 GROUP BY vec_id"))
+_MOSAIC = "vec_id // 64 AS mosaic, CAST(vec_id % 8 AS INT) AS tx, CAST(vec_id // 8 % 8 AS INT) AS ty"
+
+
+@query("quadtree_estimate", sql("planes", _QT + f""", sub AS (SELECT vec_id, count(*) AS px FROM planes WHERE alpha >= 128 GROUP BY vec_id), c AS (SELECT vec_id, count(*) AS cells FROM ce GROUP BY vec_id), m AS (SELECT DISTINCT vec_id, {_MOSAIC} FROM planes)
+SELECT mosaic, coalesce(sum(cells), 0) AS cells, coalesce(sum(px), 0) AS pixels, round(CASE WHEN coalesce(sum(px), 0) = 0 THEN 0 ELSE 1 - sum(cells) / sum(px)::DOUBLE END, 6) AS reduction FROM m LEFT JOIN sub USING (vec_id) LEFT JOIN c USING (vec_id) WHERE tx % 4 = 0 AND ty % 4 = 0 GROUP BY mosaic"""))
+def _(s, d):
+    # a mosaic is 8 x 8 root tiles; every fourth along each side stands for it
+    return reduction(planes(s, d).select("*", F.floor(F.col("vec_id") / 64).cast("long").alias("mosaic"), (F.col("vec_id") % 8).alias("tx"), (F.floor(F.col("vec_id") / 8) % 8).alias("ty")), "mosaic", 4)
+
+
+def reduction(df, key: str, stride: int):
+    """key, cells, pixels and the share of subject pixels that cells save; root tiles at every stride-th place tx, ty are built."""
+    some = df.filter(f"tx % {stride} = 0 AND ty % {stride} = 0")
+    tile = some.groupBy(key, "vec_id").agg(F.count_if(subject()).alias("pixels"))
+    cells = quad(some).groupBy("vec_id").agg(F.count("*").alias("cells"))
+    out = tile.join(cells, "vec_id", "left").groupBy(key).agg(F.coalesce(F.sum("cells"), F.lit(0)).alias("cells"), F.sum("pixels").alias("pixels"))
+    return out.select(key, "cells", "pixels", r6(F.when(F.col("pixels") == 0, 0.0).otherwise(1 - F.col("cells") / F.col("pixels")), "reduction"))
+
+
+@query("metric_reduction", sql("planes", _QT + """, sub AS (SELECT vec_id, count(*) FILTER (alpha >= 128) AS pixels FROM planes GROUP BY vec_id), c AS (SELECT vec_id, count(*) AS cells FROM ce GROUP BY vec_id)
+SELECT vec_id, coalesce(cells, 0) AS cells, pixels, round(CASE WHEN pixels = 0 THEN 0 ELSE 1 - coalesce(cells, 0) / pixels::DOUBLE END, 6) AS reduction FROM sub LEFT JOIN c USING (vec_id)"""))
 def _(s, d):
-    # the sampled roots are the feature: every fourth root tile stands for all
-    return quad(planes(s, d).filter("vec_id % 4 = 0")).groupBy("vec_id").agg(F.count("*").alias("cells"))
+    return reduction(planes(s, d).select("*", F.col("vec_id").alias("plane"), F.lit(0).alias("tx"), F.lit(0).alias("ty")), "plane", 1).withColumnRenamed("plane", "vec_id")
 
 
 @query("quadtree_flatten", sql("planes", _QT + " SELECT p.vec_id, p.x, p.y, round(ce.m, 6) AS depth FROM planes p JOIN ce ON ce.vec_id = p.vec_id AND p.x // CAST(pow(2, ce.level) AS INT) = ce.cx AND p.y // CAST(pow(2, ce.level) AS INT) = ce.cy WHERE p.alpha >= 128"))
@@ -376,20 +395,25 @@ def _(s, d):
     return cells.join(front, ["gx", "gy"], "left").groupBy("k").agg(F.sum("m").alias("n"), F.coalesce(F.sum(F.col("m") * F.col("hit")), F.lit(0)).alias("hit"))
 
 
-@query("join_double_rate_semi", sql("pts", """s AS (SELECT * FROM pts WHERE l_pick) SELECT count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM s b WHERE b.source <> s.source AND (b.x - s.x) * (b.x - s.x) + (b.y - s.y) * (b.y - s.y) + (b.z - s.z) * (b.z - s.z) <= 0.0004 AND b.nx * s.nx + b.ny * s.ny + b.nz * s.nz >= 0.7)) AS doubled FROM s""".replace("WHERE l_pick", "WHERE g % 8 = 0")))
+@query("join_double_rate_semi", sql("pts", """g AS (SELECT *, CAST(floor(x * 50) AS INT) AS ix, CAST(floor(y * 50) AS INT) AS iy, CAST(floor(z * 50) AS INT) AS iz FROM pts),
+o AS (SELECT b.*, ix + i AS jx, iy + j AS jy, iz + k AS jz FROM g b, range(-1, 2) a(i), range(-1, 2) c(j), range(-1, 2) e(k)),
+hit AS (SELECT DISTINCT s.pid FROM g s JOIN o b ON b.jx = s.ix AND b.jy = s.iy AND b.jz = s.iz WHERE b.source <> s.source AND (b.x - s.x) * (b.x - s.x) + (b.y - s.y) * (b.y - s.y) + (b.z - s.z) * (b.z - s.z) <= 0.0004 AND b.nx * s.nx + b.ny * s.ny + b.nz * s.nz >= 0.7)
+SELECT count(*) AS n, count(hit.pid) AS doubled FROM pts LEFT JOIN hit USING (pid)"""))
 def _(s, d):
-    p = points(s, d).filter("g % 8 = 0").select("pid", "source", "x", "y", "z", "nx", "ny", "nz")  # the sample is the measure's own
-    cell = lambda c: F.floor(F.col(c) / 0.02)
+    # every point is probed, against all points of the 27 cells around it; the first partner ends a probe
+    p = points(s, d).select("pid", "source", "x", "y", "z", "nx", "ny", "nz")
+    cell = lambda c: F.floor(F.col(c) * 50)
     near = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    grid = lambda df: df.select("*", *(cell(c).alias(f"i{c}") for c in "xyz"))
-    other = grid(p.select(*(F.col(c).alias(f"o_{c}") for c in p.columns)).select("*", *(F.col(f"o_{c}").alias(c) for c in "xyz"))).drop("x", "y", "z")
+    other = p.select(*(F.col(c).alias(f"o_{c}") for c in p.columns if c != "pid"), *(cell(c).alias(f"i{c}") for c in "xyz"))
     for c in "xyz":
         other = other.withColumn("_k", F.explode(near)).withColumn(f"i{c}", F.col(f"i{c}") + F.col("_k")).drop("_k")
-    j = grid(p).join(other, ["ix", "iy", "iz"])
+    own = p.select("*", *(cell(c).alias(f"i{c}") for c in "xyz"))
+    other = other.withColumnsRenamed({f"i{c}": f"j{c}" for c in "xyz"})
     d2 = sum(((F.col(c) - F.col(f"o_{c}")) * (F.col(c) - F.col(f"o_{c}")) for c in "xyz"), F.lit(0.0))
     dot = sum((F.col(f"n{c}") * F.col(f"o_n{c}") for c in "xyz"), F.lit(0.0))
-    hit = j.filter((F.col("source") != F.col("o_source")) & (d2 <= 0.0004) & (dot >= 0.7)).select("pid").distinct().withColumn("hit", F.lit(1))
-    return p.join(hit, "pid", "left").agg(F.count("*").alias("n"), F.count("hit").alias("doubled"))
+    same = (F.col("ix") == F.col("jx")) & (F.col("iy") == F.col("jy")) & (F.col("iz") == F.col("jz"))
+    hit = own.join(other, same & (F.col("source") != F.col("o_source")) & (d2 <= 0.0004) & (dot >= 0.7), "left_semi").agg(F.count("*").alias("doubled"))
+    return p.agg(F.count("*").alias("n")).crossJoin(F.broadcast(hit))  # one row each
 
 
 # --- rendering ---------------------------------------------------------------
@@ -421,7 +445,7 @@ o AS (SELECT ix, iy, list({'c': c, 'a': al} ORDER BY z DESC, pid) AS l FROM t GR
 def _(s, d):
     cell = lambda c: F.floor(F.col(c) * 16).cast("int").alias(f"i{c}")
     rows = points(s, d).select(cell("x"), cell("y"), (-F.col("z")).alias("far"), "pid", (F.col("r") / 255.0).alias("c"), (F.col("a") / 255.0 * 0.5).alias("al"))
-    out = cloud.composite(rows, ["ix", "iy"], ["far", "pid"], "c", "al")
+    out = cloud.composite(rows, ["ix", "iy"], ["far", "pid"], "c", "al", (-1.0, 0.0))
     return out.select("ix", "iy", r6(F.col("c"), "c"), r6(F.col("cover"), "cover"))
 
 

@@ -93,8 +93,17 @@ def _(s, d):
 @query("win_edge_replicate", sql("planes", "SELECT p.vec_id, o.x, o.y, p.r, CAST(CASE WHEN o.x = p.x AND o.y = p.y THEN p.alpha ELSE 0 END AS INT) AS alpha FROM (SELECT CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM range(-2, 10) a(x), range(-2, 10) b(y)) o JOIN planes p ON p.x = least(7, greatest(0, o.x)) AND p.y = least(7, greatest(0, o.y))"))
 def _(s, d):
     # each border pixel repeats outwards; no grid is joined
-    spread = lambda c: F.explode(F.when(F.col(c) == 0, F.sequence(F.lit(-2), F.lit(0))).when(F.col(c) == 7, F.sequence(F.lit(7), F.lit(9))).otherwise(F.array(c)))
-    df = planes(s, d).select("*", spread("x").alias("ox")).select("*", spread("y").alias("oy"))
+    return edge_replicate(planes(s, d), 2)
+
+
+def edge_replicate(df, r: int):
+    """Planes with r more pixels on every side, which repeat the border's colour with alpha 0."""
+    whole = Window.partitionBy("vec_id")
+    df = N.by_plane(df).select("*", *(f(c).over(whole).alias(f"_{n}{c}") for c in "xy" for n, f in (("lo", F.min), ("hi", F.max))))
+    low = lambda c: F.when(F.col(c) == F.col(f"_lo{c}"), F.col(c) - r).otherwise(F.col(c))
+    high = lambda c: F.when(F.col(c) == F.col(f"_hi{c}"), F.col(c) + r).otherwise(F.col(c))
+    spread = lambda c: F.explode(F.sequence(low(c), high(c)))
+    df = df.select("*", spread("x").alias("ox")).select("*", spread("y").alias("oy"))
     own = (F.col("ox") == F.col("x")) & (F.col("oy") == F.col("y"))
     return df.select("vec_id", F.col("ox").alias("x"), F.col("oy").alias("y"), "r", F.when(own, F.col("alpha")).otherwise(0).alias("alpha"))
 
@@ -283,14 +292,23 @@ def _(s, d):
 
 
 def normals(df, reach: float = 0.2, focal: float = 9.0):
-    """Normals of subject pixels by plane fits over the 5 x 5 neighbours of about their depth: each pixel is sent to its 25 neighbours."""
-    own = df.filter(subject()).select("vec_id", "x", "y", "depth")
-    off = F.array(*[F.lit(k) for k in range(-2, 3)])
-    near = own.select("vec_id", F.col("x").alias("bx_"), F.col("y").alias("by_"), F.col("depth").alias("z"), F.explode(off).alias("dx"), "y", "x").select("*", F.explode(off).alias("dy"))
-    near = near.select("vec_id", (F.col("bx_") + F.col("dx")).alias("x"), (F.col("by_") + F.col("dy")).alias("y"), (-F.col("dx")).alias("ox"), (-F.col("dy")).alias("oy"), "z")
-    j = N.by_plane(own).join(N.by_plane(near), ["vec_id", "x", "y"]).filter(F.abs(F.col("z") - F.col("depth")) <= reach)
-    ox, oy, z = F.col("ox"), F.col("oy"), F.col("z")
-    m = j.groupBy("vec_id", "x", "y").agg(F.count("*").alias("n"), *(F.sum(e).alias(k) for k, e in {"sx": ox, "sy": oy, "sz": z, "sxx": ox * ox, "sxy": ox * oy, "syy": oy * oy, "sxz": ox * z, "syz": oy * z}.items()))
+    """Normals of subject pixels by plane fits over the 5 x 5 neighbours of about their depth.
+
+    The square is gathered by two windows, columns of five and rows of those, under one deal by plane; no neighbour is shuffled.
+    """
+    put = F.when(subject(), F.struct("x", "y", F.col("depth").alias("z")))
+    near = N.by_plane(df).select("vec_id", "x", "y", "alpha", "depth", F.collect_list(put).over(N.along_y(2)).alias("_c"))
+    near = near.select("vec_id", "x", "y", "alpha", "depth", F.collect_list("_c").over(N.along_x(2)).alias("_s")).filter(subject())
+    own = F.filter(F.flatten("_s"), lambda e: F.abs(e["z"] - F.col("depth")) <= reach)
+    names = ("n", "sx", "sy", "sz", "sxx", "sxy", "syy", "sxz", "syz")
+    zero = F.struct(*(F.lit(0.0).alias(k) for k in names))
+
+    def add(a, e):
+        ox, oy, z = (e["x"] - F.col("x")).cast("double"), (e["y"] - F.col("y")).cast("double"), e["z"]
+        terms = (F.lit(1.0), ox, oy, z, ox * ox, ox * oy, oy * oy, ox * z, oy * z)
+        return F.struct(*((a[k] + t).alias(k) for k, t in zip(names, terms, strict=True)))
+
+    m = near.select("vec_id", "x", "y", F.aggregate(own, zero, add).alias("t")).select("vec_id", "x", "y", "t.*")
     c = lambda ab, a, b: F.col(ab) - F.col(a) * F.col(b) / F.col("n")
     xx, xy, yy, xz, yz = c("sxx", "sx", "sx"), c("sxy", "sx", "sy"), c("syy", "sy", "sy"), c("sxz", "sx", "sz"), c("syz", "sy", "sz")
     det = xx * yy - xy * xy

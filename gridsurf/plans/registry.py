@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridsurf.plans import clouds, composites, grids, scalars
+from gridsurf.plans import clouds, composites, extras, grids, scalars
 
 FLAGSHIP = "dedup_voxel_two_pass"
 
@@ -10,6 +10,6 @@ QUERIES: dict = {}
 
 ORACLE_SQL: dict[str, str] = {}
 
-for _module in (scalars, grids, clouds, composites):
+for _module in (scalars, grids, clouds, composites, extras):
     QUERIES |= _module.Q
     ORACLE_SQL |= _module.O

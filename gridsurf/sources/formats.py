@@ -14,6 +14,7 @@ import struct
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PLY_FIELDS = ("x", "y", "z", "nx", "ny", "nz", "f_dc_0", "f_dc_1", "f_dc_2", "opacity", "scale_0", "scale_1", "scale_2", "rot_0", "rot_1", "rot_2", "rot_3")
 SPLAT = np.dtype([("pos", "<f4", 3), ("scale", "<f4", 3), ("rgba", "u1", 4), ("rot", "u1", 4)])
@@ -123,3 +124,61 @@ def rows_of(files: DataFrame, read, schema: str) -> DataFrame:
 
 def binary_scan(spark, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+
+
+PLANE_FILES = ("json", "alpha.u8", "raw.f32", "color.rgba8")
+
+
+def to_plane_files(slot, width: int, height: int, alpha, raw, rgba, **meta) -> list[tuple[str, bytes]]:
+    """Names and bytes of a view's raw planes and their JSON sidecar."""
+    side = json.dumps({"width": width, "height": height, **meta}, sort_keys=True).encode()
+    body = (side, np.asarray(alpha, "u1").tobytes(), np.asarray(raw, "<f4").tobytes(), np.asarray(rgba, "u1").tobytes())
+    return [(f"{slot}.{end}", b) for end, b in zip(PLANE_FILES, body, strict=True)]
+
+
+def plane_scan(files: DataFrame) -> DataFrame:
+    """slot, x, y, alpha, raw, r, g, b of the raw planes among files(path, content); a slot without a sidecar or a plane is passed over.
+
+    Planes that are not as long as the sidecar says raise an error.
+    """
+    pattern = r"([^/]+)\.(json|alpha\.u8|raw\.f32|color\.rgba8)$"
+    part = lambda k: F.regexp_extract("path", pattern, k)
+    each = files.select(part(1).alias("slot"), part(2).alias("kind"), "content").filter("slot <> ''")
+    whole = each.groupBy("slot").agg(*(F.first(F.when(F.col("kind") == k, F.col("content")), ignorenulls=True).alias(f"f{i}") for i, k in enumerate(PLANE_FILES)))
+
+    def unpack(batches):
+        for p in batches:
+            for slot, meta, alpha, raw, rgba in zip(p.slot, p.f0, p.f1, p.f2, p.f3, strict=True):
+                m = json.loads(meta)
+                n = m["width"] * m["height"]
+                if (len(alpha), len(raw), len(rgba)) != (n, 4 * n, 4 * n):
+                    raise ValueError(f"planes of {slot} do not have the size of their sidecar")
+                y, x = np.divmod(np.arange(n), m["width"])
+                c = np.frombuffer(rgba, "u1").reshape(n, 4).astype("i4")
+                yield pd.DataFrame({"slot": slot, "x": x, "y": y, "alpha": np.frombuffer(alpha, "u1").astype("i4"), "raw": np.frombuffer(raw, "<f4").astype("f8"), "r": c[:, 0], "g": c[:, 1], "b": c[:, 2]})
+
+    full = whole.dropna(subset=["f0", "f1", "f2", "f3"])
+    return full.mapInPandas(unpack, "slot string, x int, y int, alpha int, raw double, r int, g int, b int")
+
+
+def file_walk(spark, path: str) -> DataFrame:
+    """path, bytes and gzipped bytes (level 9) of every file below a folder."""
+    import zlib
+
+    @F.pandas_udf("long")
+    def packed(s: pd.Series) -> pd.Series:
+        return s.map(lambda b: len(zlib.compress(bytes(b), 9, wbits=31)))
+
+    return binary_scan(spark, path).select("path", F.col("length").alias("bytes"), packed("content").alias("gzip_bytes"))
+
+
+#: Writer, bytes of a row, whether the file is gzipped.
+WRITERS = {"splat": (to_splat, 32, False), "ply": (to_ply, 68, False), "spz": (to_spz, 19, True)}
+
+
+def write_as(rows: DataFrame, kind: str) -> DataFrame:
+    """n, content: files of rows in the format named, each format with its own rows and compression."""
+    import gzip
+
+    write, _, packed = WRITERS[kind]
+    return blocks(rows, (lambda p: gzip.compress(write(p), mtime=0)) if packed else write)
