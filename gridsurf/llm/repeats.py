@@ -146,16 +146,22 @@ def scan_items(docs: DataFrame, symbols, width: int, gram: int, block: int) -> D
     return docs.select("uid", "doc_id", "text").mapInArrow(scan, "near long, far long, doc_id long, uid long, at int, n int")
 
 
+#: Symbols of a piece of content: items that start in the same stretch of so many symbols share it.
+PIECE = 256
+
+
 class Repeats:
     """What recurs in docs(uid, doc_id, text), as tables in the shared folder.
 
     met: every item (near, far, doc_id, uid, at, n) whose near rank others share.
     classes: of each (near, far) how many items have it, the first of them by doc_id, uid
-    and at, its content (what content(text, at, size) cuts out), and `edge`: i, doc_id, uid, at of its windows i that recur, and where each
+    and at, and `edge`: i, doc_id, uid, at of its windows i that recur, and where each
     occurs first; null where the near rank has no other far rank.
+    pieces: uid, bucket, lo, content: the symbols from `lo` on that the first items starting in that stretch of PIECE symbols cover
+    (what content(text, row, at, size) cuts out), where content is given.
     """
 
-    def __init__(self, docs: DataFrame, symbols, content, width: int, gram: int, block: int):
+    def __init__(self, docs: DataFrame, symbols, width: int, gram: int, block: int, content=None):
         spark = docs.sparkSession
         # a rank that many share is summed before the shuffle; its rows then meet it in a join, which Spark may split
         near = near_ranks(docs, symbols, width, gram, block)
@@ -182,26 +188,36 @@ class Repeats:
                     prints, lists = Prints(sym), part.column(3)
                     row = np.repeat(np.arange(e - s), pa.compute.list_value_length(lists).to_numpy())
                     flat = lists.flatten()
-                    at, n, kinds = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (3, 4, 5))
+                    at = flat.field(3).to_numpy(zero_copy_only=False).astype(np.int64)
+                    order = np.lexsort((at, row))
+                    row, at, flat = row[order], at[order], flat.take(pa.array(order))
+                    n, kinds = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (4, 5))
                     count = np.where(kinds > 1, n, 0)  # windows to rank
                     start = np.repeat(first[row] + at - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
                     rank = prints.of(start, start + width).view(np.int64)
                     ranks = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(rank))
-                    cut = pa.array(content(part.column(2), row, at, n + (width - 1)), pa.binary())
-                    doc, uid = part.column(1).fill_null(LOW).to_numpy()[row], part.column(0).to_numpy()[row]
-                    yield pa.RecordBatch.from_arrays([flat.field(0), flat.field(1), flat.field(2), pa.array(doc), pa.array(uid), flat.field(3), flat.field(4), cut, ranks], ["near", "far", "times", "doc_id", "uid", "at", "n", "content", "ranks"])
+                    items_ = pa.StructArray.from_arrays([flat.field(0), flat.field(1), flat.field(2), flat.field(3), flat.field(4), ranks], ["near", "far", "times", "at", "n", "ranks"])
+                    # pieces: items of a text that start in one stretch
+                    head = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(at // PIECE) != 0))[: len(row)])
+                    lo = at[head]
+                    hi = np.maximum.reduceat(at + n + (width - 1), head) if len(head) else lo
+                    cut = content(part.column(2), row[head], lo, hi - lo) if content else [b""] * len(head)
+                    own = pa.ListArray.from_arrays(pa.array(np.append(head, len(row)).astype(np.int32)), items_)
+                    doc, uid = part.column(1).fill_null(LOW).to_numpy()[row[head]], part.column(0).to_numpy()[row[head]]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(uid), pa.array((lo // PIECE).astype(np.int32)), pa.array(lo.astype(np.int32)), pa.array(cut, pa.binary()), own], ["doc_id", "uid", "bucket", "lo", "content", "own"])
 
         common.tune(spark)
-        held = texts.mapInArrow(ranked, "near long, far long, times long, doc_id long, uid long, at int, n int, content binary, ranks array<long>")
-        held, held_path = common.write_table(held, "repeat-content")
+        held = texts.mapInArrow(ranked, "doc_id long, uid long, bucket int, lo int, content binary, own array<struct<near:long,far:long,times:long,at:int,n:int,ranks:array<long>>>")
+        held, self.pieces_path = common.write_table(held, "repeat-pieces")
         common.drop_table(spark, each_path)
         common.free(spark)
+        self.pieces = held.select("uid", "bucket", "lo", "content")
 
-        windows = held.select("near", "far", "times", "doc_id", "uid", "at", F.posexplode("ranks").alias("i", "rank"))
+        items = held.select("doc_id", "uid", F.explode("own").alias("e")).select("doc_id", "uid", "e.*")
+        windows = items.select("near", "far", "times", "doc_id", "uid", "at", F.posexplode("ranks").alias("i", "rank"))
         firsts = windows.groupBy("near", "rank").agg(F.count("*").alias("kinds"), F.min(F.struct("doc_id", "uid", (F.col("at") + F.col("i")).alias("at"))).alias("first"))
         found = windows.join(firsts, ["near", "rank"]).filter("kinds > 1 OR times > 1")
         edges = found.groupBy("near", "far").agg(F.collect_list(F.struct("i", "first.doc_id", "first.uid", "first.at")).alias("edge"))
-        done = held.drop("ranks").join(edges, ["near", "far"], "left").filter("times > 1 OR edge IS NOT NULL")
+        done = items.drop("ranks").join(edges, ["near", "far"], "left").filter("times > 1 OR edge IS NOT NULL")
         self.classes, self.classes_path = common.write_table(done, "repeat-edges")
-        common.drop_table(spark, held_path)
         common.free(spark)

@@ -4,9 +4,11 @@ Passages of `width` words or more that recur are confirmed over all documents
 (see repeats.py: symbols are word fingerprints), each with its words and the place
 where it occurs first. Documents are dealt into shards of about SHARD bytes by their
 row hash. Each shard gets the confirmed passages of which it holds the fingerprint
-somewhere, as words; they are compiled into Aho-Corasick automata with pyahocorasick,
+somewhere, as words (pieces of their first document, so that passages that overlap there travel
+once); they are compiled into Aho-Corasick automata with pyahocorasick,
 of PASSAGE_WORDS words at most, and all documents of the shard stream through
-them. The automata alone say where a passage occurs, by its words: a fingerprint
+them. An automaton finds the first HEAD words of a passage, and the others are compared on the
+spot. This alone says where a passage occurs, by its words: a fingerprint
 shared by chance brings a passage to a shard where nothing matches it. A word
 goes if an occurrence covers it that is not the first one of its window.
 
@@ -36,8 +38,11 @@ GRAM = 1
 BLOCK = 10
 #: Bytes of text of a shard, on average.
 SHARD = 4 << 20
-#: Words of passages in one automaton; their distinct words are its alphabet, which must stay below a million.
-PASSAGE_WORDS = 1 << 19
+#: Words of a passage that stand in the automaton.
+HEAD = 6
+#: Words of passages in one automaton, whose distinct words are numbered by SIGNS digits of 32.
+PASSAGE_WORDS = 1 << 20
+SIGNS = 4
 
 
 def symbols(column) -> tuple[np.ndarray, np.ndarray]:
@@ -55,14 +60,17 @@ def content(column, row: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[b
 
 
 def _signs(codes: np.ndarray) -> str:
-    """Word numbers as characters; surrogates are left out."""
-    return (codes + np.where(codes >= 0xD800, 0x800, 0)).astype("<u4").tobytes().decode("utf-32-le")
+    """Word numbers as SIGNS characters each, those of each place its own 32, as a node of the automaton looks through its children one by one."""
+    shift = np.arange(SIGNS - 1, -1, -1) * 5
+    digits = (codes[:, None] >> shift & 31) + np.arange(SIGNS) * 32
+    return np.where(codes[:, None] > 0, digits, 255).astype(np.uint8).tobytes().decode("latin-1")
 
 
 def locate(words: list[list[bytes]], passages: list[tuple[list[bytes], list[tuple[int, int, tuple]]]]) -> list[list[tuple[int, int, tuple]]]:
     """Start, stop and value of each occurrence, in each text, of the passages.
 
     passages: words, and of each run of them to be found its start, its size and its value; of equal runs the least value counts.
+    The automaton holds the first HEAD words of each run; what follows them is compared where they are met.
     """
     import ahocorasick
 
@@ -76,18 +84,24 @@ def locate(words: list[list[bytes]], passages: list[tuple[list[bytes], list[tupl
             own, runs = passages[at]
             line = _signs(np.array([number.setdefault(w, len(number) + 1) for w in own], np.int64))
             for start, n, value in runs:
-                key = line[start : start + n]
+                key = line[start * SIGNS : (start + n) * SIGNS]
                 if key not in keys or value < keys[key]:
                     keys[key] = value
             size += len(own)
             at += 1
-        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        heads: dict[str, list[tuple[str, tuple]]] = {}
         for key, value in keys.items():
-            machine.add_word(key, (len(key), value))
+            heads.setdefault(key[: HEAD * SIGNS], []).append((key, value))
+        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        for head, tails in heads.items():
+            machine.add_word(head, (len(head) - 1, tails))
         machine.make_automaton()
         get = number.get
         for found, ws in zip(hits, words, strict=True):
-            found += [(end + 1 - n, end + 1, value) for end, (n, value) in machine.iter(_signs(np.array([get(w, 0) for w in ws], np.int64)))]
+            line = _signs(np.array([get(w, 0) for w in ws], np.int64))
+            for end, (back, tails) in machine.iter(line):
+                start = end - back
+                found += [(start // SIGNS, (start + len(key)) // SIGNS, value) for key, value in tails if line.startswith(key, start)]
     return hits
 
 
@@ -104,23 +118,34 @@ def cut(words: list[bytes], owner: tuple[int, int], found: list[tuple[int, int,
 
 
 def confirmed(found: repeats.Repeats, width: int) -> DataFrame:
-    """near, far, content and runs of the passages: (start, words, doc_id, uid, at of the first occurrence)."""
+    """near, far, of0, bucket (of the piece that holds the words) and runs of the passages: start, words, and doc_id, uid, at of the first occurrence."""
     here = lambda i: F.struct(F.col("doc_id"), F.col("uid"), F.col("at") + i)
     earlier = F.filter(F.coalesce("edge", F.array().cast("array<struct<i:int,doc_id:bigint,uid:bigint,at:int>>")), lambda e: F.struct(e["doc_id"], e["uid"], e["at"]) < here(e["i"]))
-    whole = F.struct(F.lit(0).alias("start"), (F.col("n") + (width - 1)).alias("words"), "doc_id", "uid", "at")
-    some = F.transform(earlier, lambda e: F.struct(e["i"].alias("start"), F.lit(width).alias("words"), e["doc_id"].alias("doc_id"), e["uid"].alias("uid"), e["at"].alias("at")))
+    whole = F.struct(F.col("at").alias("start"), (F.col("n") + (width - 1)).alias("words"), "doc_id", "uid", "at")
+    some = F.transform(earlier, lambda e: F.struct((F.col("at") + e["i"]).alias("start"), F.lit(width).alias("words"), e["doc_id"].alias("doc_id"), e["uid"].alias("uid"), e["at"].alias("at")))
     runs = F.when(F.col("times") > 1, F.concat(F.array(whole), some)).otherwise(some)
-    return found.classes.select("near", "far", "content", runs.alias("runs")).filter("size(runs) > 0")
+    return found.classes.select("near", "far", F.col("uid").alias("of0"), F.floor(F.col("at") / repeats.PIECE).cast("int").alias("bucket"), runs.alias("runs")).filter("size(runs) > 0")
 
 
 def remove(docs: DataFrame, keep: list[str], texts: bool, width: int = WIDTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """The columns `keep`, n_words, n_removed, kept_sha256 and, with `texts`, the kept text of each row of docs(uid, doc_id, text, ...)."""
     spark = docs.sparkSession
-    found = repeats.Repeats(docs.select("uid", "doc_id", "text"), symbols, content, width, gram, block)
+    found = repeats.Repeats(docs.select("uid", "doc_id", "text"), symbols, width, gram, block, content)
     bytes_all = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(common.n_parts(spark), -(-bytes_all // SHARD))
     shard = F.pmod(F.col("uid"), F.lit(shards)).alias("shard")
-    routed = found.met.select(shard, "near", "far").distinct().join(confirmed(found, width), ["near", "far"]).select("shard", "content", "runs")
+    # which shard needs which runs of which piece: a row for each class that it holds, then one for each piece
+    asked = found.met.select(shard, "near", "far").distinct().join(confirmed(found, width), ["near", "far"])
+    asked = asked.groupBy("shard", "of0", "bucket").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    asked, asked_path = common.write_table(asked, "passages-asked")
+    common.drop_table(spark, found.met_path)
+    common.drop_table(spark, found.classes_path)
+    common.free(spark)
+    pieces = found.pieces.withColumnRenamed("uid", "of0")
+    routed, _ = common.write_table(asked.join(pieces, ["of0", "bucket"]).select("shard", "lo", "content", "runs"), "passages")
+    common.drop_table(spark, asked_path)
+    common.drop_table(spark, found.pieces_path)
+    common.free(spark)
 
     # rows equal in doc_id and text would meet in one shard, however many they are: one of them goes there
     repeated = bool(docs.groupBy("uid").count().filter("count > 1").limit(1).count())
@@ -136,7 +161,10 @@ def remove(docs: DataFrame, keep: list[str], texts: bool, width: int = WIDTH, gr
         import pyarrow as pa
 
         words = [t.split() for t in left["text"].cast(pa.binary()).to_pylist()]
-        passages = [(c.split(), [(r["start"], r["words"], (r["doc_id"], r["uid"], r["at"])) for r in rs]) for c, rs in zip(right["content"].to_pylist(), right["runs"].to_pylist(), strict=True)]
+        passages = [
+            (c.split(), [(r["start"] - lo, r["words"], (r["doc_id"], r["uid"], r["at"])) for r in rs])
+            for lo, c, rs in zip(right["lo"].to_pylist(), right["content"].to_pylist(), right["runs"].to_pylist(), strict=True)
+        ]
         owners = zip(left["doc_id"].fill_null(repeats.LOW).to_pylist(), left["uid"].to_pylist(), strict=True)
         got = [cut(w, owner, f) for w, owner, f in zip(words, owners, locate(words, passages), strict=True)]
         cols = [left["uid"], *(left[f"_keep_{k}"] for k in range(len(carried)))]

@@ -53,13 +53,14 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
     spark = docs.sparkSession
     own = repeats.with_uid(docs)
-    found = repeats.Repeats(own, symbols, lambda column, row, at, size: [b""] * len(row), width, gram, block)
+    found = repeats.Repeats(own, symbols, width, gram, block)
     # null: all windows of the item; else those that recur
     kinds = found.classes.select("near", "far", F.when(F.col("times") < 2, F.transform("edge", lambda e: e["i"])).alias("some"))
     hit = found.met.join(kinds, ["near", "far"]).select("uid", F.struct("at", "n", "some").alias("hit")).dropDuplicates(["uid", "hit"])
     spans, path = common.write_table(hit.groupBy("uid").agg(F.collect_list("hit").alias("hits")), "repeat-spans")
     common.drop_table(spark, found.met_path)
     common.drop_table(spark, found.classes_path)
+    common.drop_table(spark, found.pieces_path)
     common.free(spark)
 
     def finish(batches):
