@@ -65,6 +65,22 @@ class Prints:
         return common.mix64(self.raw(start, stop) + (stop - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def least_grams(prints: Prints, n: int, gram: int, span: int) -> np.ndarray:
+    """For each place the place of the least-hashed gram (the leftmost of equals) among `span` grams from there on.
+
+    A gram's hash counts with 32 bits whatever the number of symbols, so that equal content has equal choices everywhere.
+    """
+    low = np.uint64((1 << 32) - 1)
+    key = (common.mix64((prints.sum[gram:] - prints.sum[: n - gram + 1]) * prints.down[: n - gram + 1]) & ~low) | np.arange(n - gram + 1, dtype=np.uint64)
+    size = 1
+    while size * 2 <= span:
+        key = np.minimum(key[: len(key) - size], key[size:])
+        size *= 2
+    if size < span:
+        key = np.minimum(key[: len(key) - (span - size)], key[span - size :])
+    return (key & low).astype(np.int64)
+
+
 def items(sym: np.ndarray, first: np.ndarray, width: int, gram: int, block: int):
     """Items of a run of texts: text, start of the first window in it, windows, near and far rank.
 
@@ -75,23 +91,14 @@ def items(sym: np.ndarray, first: np.ndarray, width: int, gram: int, block: int)
     if n < width:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64), None
     prints = Prints(sym)
-    at = np.arange(n - gram + 1)
-    bits = max(1, int(n).bit_length())
-    low = np.uint64((1 << bits) - 1)
-    key = (common.mix64(prints.sum[gram:] * prints.down[: n - gram + 1] - prints.sum[: n - gram + 1] * prints.down[: n - gram + 1]) & ~low) | at.astype(np.uint64)
-    size = 1
-    while size * 2 <= span:
-        key = np.minimum(key[: len(key) - size], key[size:])
-        size *= 2
-    if size < span:
-        key = np.minimum(key[: len(key) - (span - size)], key[span - size :])
+    least = least_grams(prints, n, gram, span)
     # windows that lie in one text
     room = np.maximum(np.diff(first) - width + 1, 0)
     text = np.repeat(np.arange(len(room)), room)
     start = np.arange(len(text)) - np.repeat(np.cumsum(room) - room, room) + first[text]
     if not len(start):
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64), None
-    anchor = (key[start] & low).astype(np.int64)
+    anchor = least[start]
     part = (anchor - start) // block
     new = np.append(True, (np.diff(anchor) != 0) | (np.diff(part) != 0) | (np.diff(text) != 0))
     head = np.flatnonzero(new)
@@ -146,6 +153,13 @@ def scan_items(docs: DataFrame, symbols, width: int, gram: int, block: int) -> D
     return docs.select("uid", "doc_id", "text").mapInArrow(scan, "near long, far long, doc_id long, uid long, at int, n int")
 
 
+def met_items(docs: DataFrame, symbols, width: int, gram: int, block: int) -> DataFrame:
+    """The items of docs whose near rank others share."""
+    # a rank that many share is summed before the shuffle; its rows then meet it in a join, which Spark may split
+    near, _ = common.write_table(near_ranks(docs, symbols, width, gram, block), "repeat-near")
+    return scan_items(docs, symbols, width, gram, block).join(near, "near").withColumn("copies", F.lit(1))
+
+
 #: Symbols of a piece of content: items that start in the same stretch of so many symbols share it.
 PIECE = 256
 
@@ -153,7 +167,7 @@ PIECE = 256
 class Repeats:
     """What recurs in docs(uid, doc_id, text), as tables in the shared folder.
 
-    met: every item (near, far, doc_id, uid, at, n) whose near rank others share.
+    met: items (near, far, doc_id, uid, at, n, copies: rows of that text), those at least whose near rank others share.
     classes: of each (near, far) how many items have it, the first of them by doc_id, uid
     and at, and `edge`: i, doc_id, uid, at of its windows i that recur, and where each
     occurs first; null where the near rank has no other far rank.
@@ -161,17 +175,12 @@ class Repeats:
     (what content(text, row, at, size) cuts out), where content is given.
     """
 
-    def __init__(self, docs: DataFrame, symbols, width: int, gram: int, block: int, content=None):
+    def __init__(self, docs: DataFrame, met: DataFrame, symbols, width: int, content=None):
         spark = docs.sparkSession
-        # a rank that many share is summed before the shuffle; its rows then meet it in a join, which Spark may split
-        near = near_ranks(docs, symbols, width, gram, block)
-        near, near_path = common.write_table(near, "repeat-near")
-        met = scan_items(docs, symbols, width, gram, block).join(near, "near")
         self.met, self.met_path = common.write_table(met, "repeat-items")
-        common.drop_table(spark, near_path)
         common.free(spark)
 
-        each = self.met.groupBy("near", "far").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "uid", "at", "n")).alias("first"))
+        each = self.met.groupBy("near", "far").agg(F.sum("copies").alias("times"), F.min(F.struct("doc_id", "uid", "at", "n")).alias("first"))
         each, each_path = common.write_table(each.select("near", "far", "times", "first.*"), "repeat-classes")
         kinds = each.groupBy("near").agg(F.count("*").alias("kinds"))
         each = each.join(kinds, "near").filter("times > 1 OR kinds > 1")

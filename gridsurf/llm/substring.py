@@ -130,7 +130,8 @@ def confirmed(found: repeats.Repeats, width: int) -> DataFrame:
 def remove(docs: DataFrame, keep: list[str], texts: bool, width: int = WIDTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
     """The columns `keep`, n_words, n_removed, kept_sha256 and, with `texts`, the kept text of each row of docs(uid, doc_id, text, ...)."""
     spark = docs.sparkSession
-    found = repeats.Repeats(docs.select("uid", "doc_id", "text"), symbols, width, gram, block, content)
+    own = docs.select("uid", "doc_id", "text")
+    found = repeats.Repeats(own, repeats.met_items(own, symbols, width, gram, block), symbols, width, content)
     bytes_all = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(common.n_parts(spark), -(-bytes_all // SHARD))
     shard = F.pmod(F.col("uid"), F.lit(shards)).alias("shard")

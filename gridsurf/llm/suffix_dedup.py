@@ -1,11 +1,21 @@
-"""Suffix-array dedup: bytes of strings that occur again are removed (operator 10).
+"""Suffix-array dedup by distributed prefix doubling: bytes of strings that occur again are removed (operator 10).
 
-Prefix doubling needs ranks of positions at growing lengths, sorted until they are
-unique or the length is past the threshold. On every byte it would move some 16
-bytes a round for each byte of text; here the positions ranked are synchronised
-ones (see repeats.py): ranks of a length below the threshold drop what is unique,
-ranks beyond it settle what recurs as a whole, and only the edges of repeats are
-ranked byte by byte at the threshold itself. The result is that of all suffixes.
+Doubling over every byte would sort some 16 bytes a round for each byte of text. The positions
+ranked are synchronised ones: of each run of SPAN grams the least-hashed one, a choice
+that depends on the run's bytes alone, so that equal strings have theirs at equal places.
+The string from a position to the next (its gram included) is a block.
+
+- Round 0 ranks positions by their block (two 64-bit fingerprints).
+- Round a ranks positions by the pair of ranks at position k and at position k + 2 ** (a - 1),
+  which names the strings of 2 ** a blocks. Spark groups the pairs, and every group gets a number of its own.
+- A position whose rank is unique leaves all later rounds, as does one whose string is
+  past the threshold. Rounds end when no position is left.
+
+A string of `width` bytes holds a run of blocks, first to last synchronised position in it;
+two overlapping strings of 2 ** a blocks that begin and end that run name it, as in a
+table of range minima. Successive strings with one run are an item; strings whose run is unique are dropped by
+now, and items that recur are settled as in repeats.py (near rank: the run; far rank: all bytes of
+the item; windows one by one at the edges of repeats). The result is that of all suffixes.
 
 Cases: null and empty texts have no bytes; texts shorter than the threshold lose
 nothing; equal strings within one document count, overlapping ones too; repeated
@@ -25,7 +35,8 @@ from gridsurf.llm import common, repeats
 
 WIDTH = 400
 GRAM = 16
-BLOCK = 64
+#: Grams of a synchronising run: a third of those of a string, so that each string holds two positions at least.
+SPAN = 128
 
 
 def symbols(column) -> tuple[np.ndarray, np.ndarray]:
@@ -33,27 +44,161 @@ def symbols(column) -> tuple[np.ndarray, np.ndarray]:
     return common.BYTE_MIX[raw], first
 
 
-def cut(text: bytes, cover: np.ndarray) -> tuple[int, int, str]:
-    """Removed bytes, removed runs and the SHA-256 of the rest. cover: starts and stops of spans, any order."""
+class Positions:
+    """Synchronised positions of a run of texts. choice: of the run of grams from a place on; at, text: the positions and their texts; lead: of each text its first position's number."""
+
+    def __init__(self, sym: np.ndarray, first: np.ndarray, gram: int, span: int):
+        need = gram + span - 1
+        self.prints = repeats.Prints(sym)
+        if len(sym) < need:
+            self.choice = self.at = self.text = np.empty(0, np.int64)
+        else:
+            self.choice = repeats.least_grams(self.prints, len(sym), gram, span)
+            room = np.maximum(np.diff(first) - need + 1, 0)
+            text = np.repeat(np.arange(len(room)), room)
+            start = np.arange(len(text)) - np.repeat(np.cumsum(room) - room, room) + first[text]
+            got = self.choice[start]
+            new = np.append(True, np.diff(got) != 0)[: len(got)]  # choices never go back, and those of two texts differ
+            self.at, self.text = got[new], text[new]
+        self.lead = np.searchsorted(self.text, np.arange(len(first)))
+
+
+def blocks(docs: DataFrame, gram: int, span: int) -> DataFrame:
+    """uid, copies, k, at, stop, fa, fb: the block of each synchronised position of docs(uid, copies, text) but the last of a text."""
+    common.tune(docs.sparkSession)
+
+    def scan(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for s, e in common.slices(b.column(2)):
+                sym, first = symbols(b.column(2).slice(s, e - s))
+                p = Positions(sym, first, gram, span)
+                k = np.flatnonzero(np.diff(p.text) == 0)
+                text, start, stop = p.text[k], p.at[k], p.at[k + 1] + gram
+                second = repeats.Prints((sym ^ (sym >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93))
+                fa, fb = p.prints.of(start, stop).view(np.int64), second.of(start, stop).view(np.int64)
+                own = pa.array(text)
+                cols = [b.column(0).slice(s, e - s).take(own), b.column(1).slice(s, e - s).take(own), pa.array((k - p.lead[text]).astype(np.int32)), pa.array((start - first[text]).astype(np.int32)), pa.array((stop - first[text]).astype(np.int32)), pa.array(fa), pa.array(fb)]
+                yield pa.RecordBatch.from_arrays(cols, ["uid", "copies", "k", "at", "stop", "fa", "fb"])
+
+    return docs.select("uid", "copies", "text").mapInArrow(scan, "uid long, copies int, k int, at int, stop int, fa long, fb long")
+
+
+def ranked(rows: DataFrame, pair: list[str], name: str) -> tuple[DataFrame | None, str | None]:
+    """rows whose pair others share, with `rank`, a number for each such pair, in place of it; None if there are none."""
+    spark = rows.sparkSession
+    rows, rows_path = common.write_table(rows, f"{name}-pairs")
+    names = rows.groupBy(*pair).agg(F.sum("copies").alias("_n")).filter("_n > 1").select(*pair, F.monotonically_increasing_id().alias("rank"))
+    names, names_path = common.write_table(names, f"{name}-ranks")  # numbers are fixed once written
+    out = path = None
+    if not names.isEmpty():
+        out, path = common.write_table(rows.join(names, pair).drop(*pair), name)
+    common.drop_table(spark, rows_path)
+    common.drop_table(spark, names_path)
+    common.free(spark)
+    return out, path
+
+
+def double(docs: DataFrame, width: int, gram: int, span: int) -> list[tuple[DataFrame, str]]:
+    """uid, copies, k, at, stop, rank of each round, round 0 first: strings of 1, 2, 4, ... blocks that recur and are no longer than width."""
+    out = []
+    level, path = ranked(blocks(docs, gram, span).filter(F.col("stop") - F.col("at") <= width), ["fa", "fb"], "doubling-0")
+    while level is not None:
+        out.append((level, path))
+        step = 1 << (len(out) - 1)
+        ahead = level.select("uid", (F.col("k") - step).alias("k"), F.col("rank").alias("next"), F.col("stop").alias("_stop"))
+        pairs = level.join(ahead, ["uid", "k"]).select("uid", "copies", "k", "at", F.col("_stop").alias("stop"), "rank", "next").filter(F.col("stop") - F.col("at") <= width)
+        level, path = ranked(pairs.withColumnRenamed("rank", "own"), ["own", "next"], f"doubling-{len(out)}")
+    return out
+
+
+def run_items(docs: DataFrame, levels: list[DataFrame], width: int, gram: int, span: int) -> DataFrame:
+    """near, far, doc_id, uid, at, n, copies of the items of docs(uid, doc_id, copies, text) whose run of blocks may recur."""
+    held = None
+    for a, level in enumerate(levels):
+        own = level.select("uid", F.struct(F.lit(a).alias("a"), "k", "rank").alias("e"))
+        held = own if held is None else held.unionByName(own)
+    held = held.groupBy("uid").agg(F.collect_list("e").alias("ranks"))
+    n_levels = len(levels)
+    reach = width - span - gram + 1  # from the first synchronising run of a string to its last
+
+    def scan(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for s, e in common.slices(b.column(3)):
+                part = b.slice(s, e - s)
+                sym, first = symbols(part.column(3))
+                p = Positions(sym, first, gram, span)
+                rank = np.full((n_levels, len(p.at) + 1), -1, np.int64)
+                flat = part.column(4).flatten()
+                row = np.repeat(np.arange(e - s), pa.compute.list_value_length(part.column(4)).to_numpy())
+                a, k, r = (flat.field(j).to_numpy(zero_copy_only=False) for j in range(3))
+                rank[a, p.lead[row] + k] = r
+                room = np.maximum(np.diff(first) - width + 1, 0)
+                text = np.repeat(np.arange(len(room)), room)
+                start = np.arange(len(text)) - np.repeat(np.cumsum(room) - room, room) + first[text]
+                kf = np.searchsorted(p.at, p.choice[start]) if len(start) else start
+                kl = np.searchsorted(p.at, p.choice[start + reach]) if len(start) else start
+                # strings with one run of blocks are an item
+                head = np.flatnonzero(np.append(True, (np.diff(kf) != 0) | (np.diff(kl) != 0) | (np.diff(text) != 0))[: len(start)])
+                tail = np.append(head[1:], len(start))[: len(head)] - 1
+                kf, m = kf[head], (kl - kf)[head]
+                level = np.frexp(m.astype(np.float64))[1] - 1  # 2 ** level <= m
+                known = level < n_levels
+                level = np.where(known, level, 0)
+                r1, r2 = rank[level, kf], rank[level, np.maximum(kf + m - (1 << level), 0)]
+                live = known & (r1 >= 0) & (r2 >= 0)
+                head, tail, kf, m, r1, r2 = (x[live] for x in (head, tail, kf, m, r1, r2))
+                lo, hi, at, t = start[head], start[tail], p.at[kf], text[head]
+                near = common.mix64(common.mix64(r1.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + m.astype(np.uint64)) + r2.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
+                far = common.mix64(p.prints.of(lo, hi + width) ^ common.mix64((at - lo).astype(np.uint64) << np.uint64(32) | (hi - lo).astype(np.uint64)))
+                own = pa.array(t)
+                doc = part.column(1).fill_null(repeats.LOW).take(own)
+                cols = [pa.array(near.view(np.int64)), pa.array(far.view(np.int64)), doc, part.column(0).take(own), pa.array((lo - first[t]).astype(np.int32)), pa.array((hi - lo + 1).astype(np.int32)), part.column(2).take(own)]
+                yield pa.RecordBatch.from_arrays(cols, ["near", "far", "doc_id", "uid", "at", "n", "copies"])
+
+    common.tune(docs.sparkSession)
+    return docs.select("uid", "doc_id", "copies", "text").join(held, "uid").mapInArrow(scan, "near long, far long, doc_id long, uid long, at int, n int, copies int")
+
+
+def cut(text: bytes, cover: np.ndarray) -> tuple[list[tuple[int, int]], bytes]:
+    """Maximal removed runs (start, stop) and the bytes kept. cover: starts and stops of spans, any order."""
     if not len(cover):
-        return 0, 0, hashlib.sha256(text).hexdigest()
+        return [], text
     cover = cover[np.argsort(cover[:, 0], kind="stable")]
     reach = np.maximum.accumulate(cover[:, 1])
     new = np.append(True, cover[1:, 0] > reach[:-1])
     start, stop = cover[new, 0], reach[np.append(np.flatnonzero(new)[1:] - 1, len(cover) - 1)]
-    kept, last = [], 0
-    for a, z in zip(start.tolist(), stop.tolist(), strict=True):
-        kept.append(text[last:a])
-        last = z
-    kept.append(text[last:])
-    return int((stop - start).sum()), len(start), hashlib.sha256(b"".join(kept)).hexdigest()
+    gone = list(zip(start.tolist(), stop.tolist(), strict=True))
+    last = [0, *(z for _, z in gone)]
+    return gone, b"".join([text[z:a] for z, a in zip(last, [*(a for a, _ in gone), len(text)], strict=True)])
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs."""
+def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, span: int = SPAN, texts: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs; with `texts` also the removed spans (start, stop) and the bytes kept."""
+    if width - span - gram + 1 < span:
+        raise ValueError("a string must hold two synchronised positions")
     spark = docs.sparkSession
     own = repeats.with_uid(docs)
-    found = repeats.Repeats(own, symbols, width, gram, block)
+    # rows equal in doc_id and text are ranked once, with their number
+    repeated = bool(own.groupBy("uid").count().filter("count > 1").limit(1).count())
+    once = own.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count("*").cast("int").alias("copies")) if repeated else own.withColumn("copies", F.lit(1))
+    levels = double(once, width, gram, span)
+    if not levels:
+        spans, path = common.write_table(spark.createDataFrame([], "uid long, hits array<struct<at:int,n:int,some:array<int>>>"), "repeat-spans")
+    else:
+        spans, path = recurring(once, levels, width, gram, span)
+    return finish_rows(own, spans, width, texts)
+
+
+def recurring(once: DataFrame, levels: list[tuple[DataFrame, str]], width: int, gram: int, span: int) -> tuple[DataFrame, str]:
+    """uid and hits (at, n, some: which of the n strings from `at` on recur, null for all)."""
+    spark = once.sparkSession
+    found = repeats.Repeats(once, run_items(once, [x for x, _ in levels], width, gram, span), symbols, width)
+    for _, path in levels:
+        common.drop_table(spark, path)
     # null: all windows of the item; else those that recur
     kinds = found.classes.select("near", "far", F.when(F.col("times") < 2, F.transform("edge", lambda e: e["i"])).alias("some"))
     hit = found.met.join(kinds, ["near", "far"]).select("uid", F.struct("at", "n", "some").alias("hit")).dropDuplicates(["uid", "hit"])
@@ -62,28 +207,33 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block:
     common.drop_table(spark, found.classes_path)
     common.drop_table(spark, found.pieces_path)
     common.free(spark)
+    return spans, path
+
 
+def finish_rows(own: DataFrame, spans: DataFrame, width: int, texts: bool) -> DataFrame:
     def finish(batches):
         import pyarrow as pa
 
         for b in batches:
             text, hits = b.column(1), b.column(2)
-            size, gone, runs, sha = [], [], [], []
+            rows = []
             for i in range(b.num_rows):
-                raw = text[i].as_py().encode("utf-8", "surrogatepass")
                 cover = []
                 for h in hits[i].as_py() or []:
                     if h["some"] is None:
                         cover.append((h["at"], h["at"] + h["n"] - 1 + width))
                     else:
                         cover += [(h["at"] + k, h["at"] + k + width) for k in h["some"]]
-                g, r, s = cut(raw, np.array(cover, np.int64).reshape(-1, 2))
-                size.append(len(raw)), gone.append(g), runs.append(r), sha.append(s)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+                rows.append(cut(text[i].as_py().encode("utf-8", "surrogatepass"), np.array(cover, np.int64).reshape(-1, 2)))
+            size = [sum(z - a for a, z in r[0]) for r in rows]
+            cols = [b.column(0), pa.array([len(r[1]) + g for r, g in zip(rows, size, strict=True)], pa.int64()), pa.array(size, pa.int64()), pa.array([len(r[0]) for r in rows], pa.int64()), pa.array([hashlib.sha256(r[1]).hexdigest() for r in rows], pa.string())]
+            if texts:
+                cols += [pa.array([[{"start": a, "stop": z} for a, z in r[0]] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), pa.array([r[1] for r in rows], pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["spans", "kept"] * texts)
 
-    common.tune(spark)
+    common.tune(own.sparkSession)
     whole = own.join(spans, "uid", "left").select("doc_id", "text", "hits")
-    return whole.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return whole.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", spans array<struct<start:long,stop:long>>, kept binary" * texts)
 
 
 def brute(texts: dict[int, str | None], width: int = WIDTH) -> dict[int, tuple[int, int, int, str]]:
@@ -95,7 +245,8 @@ def brute(texts: dict[int, str | None], width: int = WIDTH) -> dict[int, tuple[i
     out = {}
     for k, b in raw.items():
         spans = [(i, i + width) for i in range(len(b) - width + 1) if count[b[i : i + width]] > 1]
-        out[k] = (len(b), *cut(b, np.array(spans, np.int64).reshape(-1, 2)))
+        gone, kept = cut(b, np.array(spans, np.int64).reshape(-1, 2))
+        out[k] = (len(b), len(b) - len(kept), len(gone), hashlib.sha256(kept).hexdigest())
     return out
 
 
