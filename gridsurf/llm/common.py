@@ -9,7 +9,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows and bytes in an Arrow batch sent to a Python worker; a longer text is a batch of its own.
@@ -195,3 +195,14 @@ def joined(texts: list[str | None], gap: bytes) -> tuple[np.ndarray, np.ndarray,
 def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
     """At most `rows` rows, the same for the same input: those whose key hashes lowest."""
     return df.orderBy(F.xxhash64(F.col(key)), key).limit(rows)
+
+
+#: Bytes of text that a fit may take to the driver.
+SAMPLE_BYTES = 64 << 20
+
+
+def within_bytes(rows: DataFrame, key: str, limit: int = SAMPLE_BYTES) -> DataFrame:
+    """Of a bounded sample rows(key, text, ...) those, lowest hash first, whose texts hold `limit` bytes together."""
+    order = Window.orderBy(F.xxhash64(F.col(key)), key)
+    total = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("_total", total).filter(F.col("_total") <= limit).drop("_total")

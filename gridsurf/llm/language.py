@@ -2,7 +2,7 @@
 
 A model holds the likelihood of byte 4-grams (hashed into 65,536 buckets) for
 each language value met in the training rows, of which about SAMPLE texts for
-each language are read. A text is cut into segments of SEGMENT words; an
+each language and at most common.SAMPLE_BYTES of text are read. A text is cut into segments of SEGMENT words; an
 expectation-maximisation over its segments estimates the share of each language
 in it. Language sets of growing size, in order of share, compete by penalised
 likelihood; the largest share in the set chosen gives lang_pred, its value the
@@ -131,7 +131,8 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]
     chance = F.lit(1.0)
     for name, n in counts.items():
         chance = F.when(F.col("lang") == name, F.lit(sample / n)).otherwise(chance)
-    got = have.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < chance * 1_000_000).select("text", "lang").toPandas()
+    got = have.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < chance * 1_000_000).select("doc_id", "text", "lang")
+    got = common.within_bytes(got, "doc_id").toPandas()
     return fit(got.text.tolist(), got.lang.tolist())
 
 

@@ -6,8 +6,8 @@ being good, and their mean, weighted by line length, is the document's evidence.
 A two-number calibration learned with the model turns it into a score.
 
 Lines have no labels of their own: in training they take their document's. The
-model is fitted by gradient ascent on at most SAMPLE labelled documents, those
-whose doc_id hashes lowest.
+model is fitted by gradient ascent on at most SAMPLE labelled documents and
+common.SAMPLE_BYTES of text, those whose doc_id hashes lowest.
 
 Cases: null and empty texts are one empty line and are scored like any other;
 without labelled rows every score is 0.5, with labels of one kind alone it is that
@@ -199,7 +199,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """A model from the labelled rows of docs(doc_id, text)."""
     marks = labels.filter("quality IS NOT NULL").select("doc_id", "quality").dropDuplicates(["doc_id"])
     marks = common.hash_sample(marks, "doc_id", sample)
-    got = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()  # `sample` rows at most
+    got = docs.select("doc_id", "text").join(F.broadcast(marks), "doc_id").dropDuplicates(["doc_id"])
+    got = common.within_bytes(got, "doc_id").orderBy("doc_id").toPandas()  # `sample` rows and SAMPLE_BYTES at most
     return fit(got.text.tolist(), got.quality.to_numpy())
 
 

@@ -6,7 +6,7 @@ texts and unlabelled text with the class-prior-corrected risk
 logistic loss; where the second part falls below zero its gradient is reversed.
 Negative labels are never used: rows marked 0 count as unlabelled text; the
 labels give the class prior alone. Training reads at most SAMPLE toxic and
-SAMPLE unlabelled texts, those whose doc_id hashes lowest.
+SAMPLE unlabelled texts, those whose doc_id hashes lowest, and common.SAMPLE_BYTES of text.
 
 Cases: null, empty and wordless texts score by the intercept; without toxic
 training rows every score is the prior (0); rows with the same doc_id each keep
@@ -124,7 +124,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     # unlabelled text is drawn from all rows, toxic ones among them, as the prior says
     plain = common.hash_sample(docs.select("doc_id").distinct(), "doc_id", sample)
     wanted = toxic.select("doc_id", F.lit(1).alias("kind")).unionByName(plain.select("doc_id", F.lit(0).alias("kind")))
-    got = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id", "kind"]).orderBy("doc_id").toPandas()  # 2 x `sample` rows at most
+    got = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").dropDuplicates(["doc_id", "kind"])
+    got = common.within_bytes(got, "doc_id").orderBy("doc_id").toPandas()  # 2 x `sample` rows and SAMPLE_BYTES at most
     return fit(got.text[got.kind == 1].tolist(), got.text[got.kind == 0].tolist(), float(prior))
 
 
