@@ -40,7 +40,8 @@ def _(s, d):
 
 @query("src_validate_inputs", sql("planes", "SELECT vec_id, count(*) = 64 AS complete, min(alpha) >= 0 AND max(alpha) <= 255 AS ranged FROM planes GROUP BY vec_id"))
 def _(s, d):
-    return planes(s, d).groupBy("vec_id").agg((F.count("*") == 64).alias("complete"), ((F.min("alpha") >= 0) & (F.max("alpha") <= 255)).alias("ranged"))
+    whole = (F.max("x") + 1) * (F.max("y") + 1)
+    return planes(s, d).groupBy("vec_id").agg((F.count("*") == whole).alias("complete"), ((F.min("alpha") >= 0) & (F.max("alpha") <= 255)).alias("ranged"))
 
 
 def splat_rows(df):
@@ -139,8 +140,9 @@ def containers(s, d):
         for b in batches:
             out = []
             for p in b.p:
+                size = {"width": max(q["x"] for q in p) + 1, "height": max(q["y"] for q in p) + 1, "depthBits": 12}
                 body = {name: bytes(q[k] for q in p) for name, k in (("DPTH", "hi"), ("DPTL", "lo"), ("ALFA", "alpha"))}
-                out.append(formats.to_pgs({"width": 8, "height": 8, "depthBits": 12}, body))
+                out.append(formats.to_pgs(size, body))
             yield pd.DataFrame({"vec_id": b.vec_id, "content": out})
 
     return e.mapInPandas(write, "vec_id long, content binary")
@@ -213,21 +215,22 @@ wt AS (SELECT y, b, w FROM (VALUES (0, 0, 1.0), (1, 0, 1.0), (2, 0, 0.75), (2, 1
 ro AS (SELECT vec_id, y, sum(w * med) / sum(w) AS med, sum(w * spread) / sum(w) AS spread FROM sm JOIN wt USING (b) GROUP BY ALL)
 SELECT p.vec_id, p.x, p.y, round(CASE WHEN ro.spread > 0.7::DOUBLE * 0.5 THEN ro.med + (depth - ro.med) * (0.7::DOUBLE * 0.5) / ro.spread ELSE depth END, 6) AS depth FROM planes p LEFT JOIN ro USING (vec_id, y) WHERE p.alpha >= 128"""))
 def _(s, d):
-    return flatten_bands(planes(s, d).filter(subject()), 0.35).select("vec_id", "x", "y", r6(F.col("depth"), "depth"))
+    return flatten_bands(planes(s, d).filter(subject()), 0.35, 8).select("vec_id", "x", "y", r6(F.col("depth"), "depth"))
 
 
-def flatten_bands(df, limit: float):
-    """Compresses rows whose spread, smoothed over half-overlapping bands of four rows, passes the limit."""
-    bands = df.select("vec_id", "depth", F.explode(F.filter(F.array(F.floor(F.col("y") / 2) - 1, F.floor(F.col("y") / 2)), lambda b: (b >= 0) & (b <= 2))).alias("b"))
+def flatten_bands(df, limit: float, height: int):
+    """Compresses rows of planes of that height whose spread, smoothed over half-overlapping bands of four rows, passes the limit."""
+    last = height // 2 - 2
+    bands = df.select("vec_id", "depth", F.explode(F.filter(F.array(F.floor(F.col("y") / 2) - 1, F.floor(F.col("y") / 2)), lambda b: (b >= 0) & (b <= last))).alias("b"))
     q = bands.groupBy("vec_id", "b").agg(F.array_sort(F.collect_list("depth")).alias("v")).filter("size(v) >= 4")
     q = q.select("vec_id", "b", F.element_at("v", (F.floor(F.size("v") / 2) + 1).cast("int")).alias("med"), (stats.nearest_rank(F.col("v"), 0.98) - stats.nearest_rank(F.col("v"), 0.02)).alias("spread"))
     w = Window.partitionBy("vec_id").orderBy("b").rangeBetween(-1, 1)
     q = q.select("vec_id", "b", F.avg("med").over(w).alias("med"), F.avg("spread").over(w).alias("spread"))
     # rows between band centres take both bands' values by distance: each band spreads its weight over its rows
     row = F.explode(F.sequence(F.col("b") * 2 - 2, F.col("b") * 2 + 5))
-    e = q.select("*", row.alias("y")).filter("y BETWEEN 0 AND 7")
+    e = q.select("*", row.alias("y")).filter(F.col("y").between(0, height - 1))
     gap = F.abs(F.col("y") - (F.col("b") * 2 + 1.5))
-    beyond = ((F.col("b") == 0) & (F.col("y") <= 1)) | ((F.col("b") == 2) & (F.col("y") >= 6))
+    beyond = ((F.col("b") == 0) & (F.col("y") <= 1)) | ((F.col("b") == last) & (F.col("y") >= 2 * last + 2))
     e = e.withColumn("w", F.when(beyond, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - gap / 2))).filter("w > 0")
     r = e.groupBy("vec_id", "y").agg((F.sum(F.col("w") * F.col("med")) / F.sum("w")).alias("med"), (F.sum(F.col("w") * F.col("spread")) / F.sum("w")).alias("spread"))
     z = F.when(F.col("spread") > limit, F.col("med") + (F.col("depth") - F.col("med")) * limit / F.col("spread")).otherwise(F.col("depth"))
@@ -241,14 +244,19 @@ _LUM = "(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b)"
 h0 AS (SELECT p.vec_id, p.x, p.y, p.depth AS z, p.alpha >= 128 AND p.y <= 4 AND NOT (p.x BETWEEN 2 AND 5 AND p.y BETWEEN 2 AND 5) AND {_LUM} < 0.75::DOUBLE * fc.l[len(fc.l) // 2 + 1] AS hair FROM planes p LEFT JOIN fc USING (vec_id)),
 """ + ", ".join(f"h{k} AS (SELECT a.vec_id, a.x, a.y, CASE WHEN a.hair THEN (SELECT avg(b.z) FROM h{k - 1} b WHERE b.vec_id = a.vec_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND b.hair) ELSE a.z END AS z, a.hair FROM h{k - 1} a)" for k in (1, 2, 3)) + " SELECT vec_id, x, y, round(z, 6) AS z FROM h3"))
 def _(s, d):
-    df = planes(s, d).withColumn("luma", P.luminance(F.col("r"), F.col("g"), F.col("b")))
-    inner = F.col("x").between(2, 5) & F.col("y").between(2, 5)
+    return hair_smooth(planes(s, d), (2, 5), (2, 5), 4).select("vec_id", "x", "y", r6(F.col("z"), "z"))
+
+
+def hair_smooth(df, face_x: tuple[int, int], face_y: tuple[int, int], lowest: int):
+    """z: depths with hair smoothed; hair is what is darker than the face's median outside its box, down to row `lowest`."""
+    df = df.withColumn("luma", P.luminance(F.col("r"), F.col("g"), F.col("b")))
+    inner = F.col("x").between(*face_x) & F.col("y").between(*face_y)
     face = df.filter(subject() & inner).groupBy("vec_id").agg(F.array_sort(F.collect_list("luma")).alias("l")).filter("size(l) >= 4")
     face = face.select("vec_id", F.element_at("l", (F.floor(F.size("l") / 2) + 1).cast("int")).alias("skin"))
-    df = df.join(face, "vec_id", "left").withColumn("hair", F.coalesce(subject() & (F.col("y") <= 4) & ~inner & (F.col("luma") < 0.75 * F.col("skin")), F.lit(False))).withColumn("z", F.col("depth"))
+    df = df.join(face, "vec_id", "left").withColumn("hair", F.coalesce(subject() & (F.col("y") <= lowest) & ~inner & (F.col("luma") < 0.75 * F.col("skin")), F.lit(False))).withColumn("z", F.col("depth"))
     for _ in range(3):
         df = N.masked_box_mean(df, F.col("z"), F.col("hair"), 1, "m").withColumn("z", F.when(F.col("hair"), F.col("m")).otherwise(F.col("z"))).drop("m")
-    return df.select("vec_id", "x", "y", r6(F.col("z"), "z"))
+    return df
 
 
 _PLANE = "(SELECT vec_id, (xz * yy - yz * xy) / (xx * yy - xy * xy) AS bx, (yz * xx - xz * xy) / (xx * yy - xy * xy) AS by_ FROM (SELECT vec_id, count(*) * sum(x * x) - sum(x) * sum(x) AS xx, count(*) * sum(x * y) - sum(x) * sum(y) AS xy, count(*) * sum(y * y) - sum(y) * sum(y) AS yy, count(*) * sum(x * {z}) - sum(x) * sum({z}) AS xz, count(*) * sum(y * {z}) - sum(y) * sum({z}) AS yz FROM (SELECT vec_id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, {z} FROM sf) GROUP BY vec_id))"

@@ -391,7 +391,7 @@ def _(s, d):
 PASS = {2: 0.85, 3: 0.9}
 
 
-def solve_with_drops(views: list[str], reference: str, measure) -> tuple[list[str], list[str], dict[str, float]]:
+def solve_with_drops(views: list[str], reference: str, measure, need: dict[int, float] = PASS) -> tuple[list[str], list[str], dict[str, float]]:
     """Views kept, views dropped and the last ratios.
 
     measure(views) gives each view's inside ratio. While the worst one fails and more than two are left, the worst goes and the
@@ -399,7 +399,7 @@ def solve_with_drops(views: list[str], reference: str, measure) -> tuple[list[st
     """
     kept, dropped = list(views), []
     ratio = measure(kept)
-    while min(ratio.values()) < PASS.get(len(kept), 0.9) and len(kept) > 2:
+    while min(ratio.values()) < need.get(len(kept), 0.9) and len(kept) > 2:
         worst = min(kept, key=lambda v: (round(ratio[v], 9), v))
         if worst == reference:
             break
@@ -420,12 +420,8 @@ def _(s, d):
         some = with_slot(p).filter(F.col("slot").isin(views)).drop("slot")
         return {r.slot: r.inside for r in inside_ratio(some, ps.filter(F.col("slot").isin(views))).collect()}  # a row for each view
 
-    strict = dict(PASS)
-    PASS[3] = 0.95  # the supplied points are no body; a line that they can miss
-    try:
-        kept, dropped, ratio = solve_with_drops(["front", "right", "left"], "front", measure)
-    finally:
-        PASS.update(strict)
+    # the supplied points are no body: a line that they can miss
+    kept, dropped, ratio = solve_with_drops(["front", "right", "left"], "front", measure, {2: 0.85, 3: 0.95})
     return s.createDataFrame([(v, True, round(ratio[v], 6)) for v in kept] + [(v, False, None) for v in dropped], "slot string, kept boolean, inside double")
 
 

@@ -197,3 +197,103 @@ def test_empty_planes(spark):
     e = spark.createDataFrame([], "vec_id long, x int, y int, v double")
     assert N.box_mean(e, "v", 1, "m").count() == 0
     assert graph.label(e, F.col("v") > 0, True).count() == 0
+
+
+def test_labels_of_wide_planes(spark):
+    """Pixels that only a 12-bit place would join."""
+    rows = [(7, 0, 1, 255), (7, 4096, 0, 255), (7, 5000, 3, 255), (7, 5001, 3, 255), (7, 5002, 4, 255), (8, 0, 1, 255)]
+    got = graph.label(spark.createDataFrame(rows, "vec_id long, x int, y int, alpha int"), F.col("alpha") >= 128, True).collect()
+    by = {(r.vec_id, r.x, r.y): r.root for r in got}
+    assert len(set(by.values())) == 4 and by[(7, 5000, 3)] == by[(7, 5001, 3)] == by[(7, 5002, 4)]
+
+
+def test_nearest_sites_of_a_row_match_brute_force():
+    from gridsurf.operators.graph import lower
+
+    rng = np.random.default_rng(9)
+    for _ in range(400):
+        xs = sorted(rng.choice(60, rng.integers(1, 20), replace=False).tolist())
+        y = int(rng.integers(0, 9))
+        sites = [(x, sy, (sy - y) ** 2) for x, sy in zip(xs, rng.integers(0, 9, len(xs)).tolist(), strict=True)]
+        got = lower(sites, list(range(60)))
+        want = [min(range(len(sites)), key=lambda k: (sites[k][2] + (sites[k][0] - p) ** 2, sites[k][1], sites[k][0])) for p in range(60)]
+        assert got == want
+
+
+def test_pyramids_of_any_size_match_the_kernel(spark):
+    """Down and up of planes 64 x 48 cut to squares of odd and even sides, against sums over mirrored places."""
+    rng = np.random.default_rng(4)
+    kernel = np.array([1, 4, 6, 4, 1]) / 16
+    mirror = lambda c, n: -1 - c if c < 0 else 2 * n - 1 - c if c >= n else c
+
+    def taps(n, gain):
+        m = np.zeros((n, n))
+        for t in range(n):
+            for k in range(-2, 3):
+                m[t, mirror(t + k, n)] += kernel[k + 2] * gain
+        return m
+
+    for n in (2, 3, 5, 8, 13, 48):
+        v = rng.random((n, n))
+        df = spark.createDataFrame([(1, x, y, float(v[y, x])) for y in range(n) for x in range(n)], "vec_id long, x int, y int, v double")
+        low = (taps(n, 1) @ v @ taps(n, 1).T)[::2, ::2]
+        got = {(r.x, r.y): r.v for r in pyramid.down(df, n).collect()}
+        assert len(got) == low.size and all(abs(got[(x, y)] - low[y, x]) < 1e-12 for y, x in np.ndindex(low.shape))
+        wide = np.zeros((n, n))
+        wide[::2, ::2] = low
+        wide = taps(n, 2) @ wide @ taps(n, 2).T
+        got = {(r.x, r.y): r.v for r in pyramid.up(pyramid.down(df, n), n).collect()}
+        assert len(got) == n * n and all(abs(got[(x, y)] - wide[y, x]) < 1e-12 for y, x in np.ndindex(wide.shape))
+
+
+def test_png_codec_and_its_filters():
+    import struct
+    import zlib
+
+    from gridsurf.sources import images
+
+    rng = np.random.default_rng(1)
+    for k in (1, 3, 4):
+        image = rng.integers(0, 256, (48, 64, k)).astype(np.uint8)
+        assert (images.from_png(images.to_png(image)) == image).all()
+    # lines filtered by hand, rule after rule
+    image = rng.integers(0, 256, (5, 7, 3)).astype(np.int64)
+    lines = b""
+    for y in range(5):
+        row, up = image[y].ravel(), image[y - 1].ravel() if y else np.zeros(21, np.int64)
+        left, corner = np.concatenate([np.zeros(3, np.int64), row[:-3]]), np.concatenate([np.zeros(3, np.int64), up[:-3]])
+        p = left + up - corner
+        near = np.where((abs(p - left) <= abs(p - up)) & (abs(p - left) <= abs(p - corner)), left, np.where(abs(p - up) <= abs(p - corner), up, corner))
+        guess = [np.zeros(21, np.int64), left, up, (left + up) // 2, near][y]
+        lines += bytes([y]) + ((row - guess) & 255).astype(np.uint8).tobytes()
+    chunk = lambda n, b: struct.pack(">I", len(b)) + n + b + struct.pack(">I", zlib.crc32(n + b))
+    png = images.SIGN + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 5, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+    assert (images.from_png(png) == image).all()
+    for bad in (b"", png[:-12], png[:-1], png[:40] + b"?" + png[41:], b"GIF89a"):
+        with pytest.raises(ValueError):
+            images.from_png(bad)
+
+
+def test_raw_planes_are_scanned_from_files(spark, tmp_path):
+    from gridsurf.sources import formats
+
+    rng = np.random.default_rng(2)
+    w, h = 64, 48
+    alpha, raw, rgba = rng.integers(0, 256, w * h), rng.random(w * h).astype("f4"), rng.integers(0, 256, (w * h, 4))
+    for slot in ("front", "left"):
+        for name, body in formats.to_plane_files(slot, w, h, alpha, raw, rgba, focalPx=50.0):
+            if not (slot == "left" and name.endswith("u8")):
+                (tmp_path / name).write_bytes(body)
+    got = formats.plane_scan(formats.binary_scan(spark, f"file://{tmp_path}")).toPandas().sort_values(["y", "x"])
+    assert set(got.slot) == {"front"} and len(got) == w * h
+    assert (got.alpha.to_numpy() == alpha).all() and np.allclose(got.raw, raw) and (got[["r", "g", "b"]].to_numpy() == rgba[:, :3]).all()
+    walked = formats.file_walk(spark, f"file://{tmp_path}").collect()
+    assert len(walked) == 7 and sum(r.bytes for r in walked) == sum(p.stat().st_size for p in tmp_path.iterdir()) and all(r.gzip_bytes > 0 for r in walked)
+
+
+def test_worst_views_go_until_the_rest_agrees():
+    from gridsurf.plans.extras import solve_with_drops
+
+    table = {("a", "b", "c"): {"a": 0.95, "b": 0.7, "c": 0.92}, ("a", "c"): {"a": 0.93, "c": 0.9}}
+    assert solve_with_drops(["a", "b", "c"], "a", lambda v: table[tuple(v)])[:2] == (["a", "c"], ["b"])
+    assert solve_with_drops(["a", "b", "c"], "b", lambda v: table[tuple(v)])[:2] == (["a", "b", "c"], [])  # the reference is the worst
