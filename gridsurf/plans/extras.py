@@ -79,6 +79,21 @@ def _(s, d):
     return px.filter((F.col("side") > 4) & inside).select("vec_id", (F.col("x") - F.col("bx")).cast("int").alias("x"), (F.col("y") - 1).cast("int").alias("y"), "r")
 
 
+@query("src_calibration_images", sql("planes", "SELECT printf('img_%06d.png', vec_id) AS name, c AS channel, y * 8 + x AS at, round(CASE c WHEN 0 THEN r WHEN 1 THEN g ELSE b END / 255.0::DOUBLE, 6) AS v FROM planes, range(3) t(c) WHERE vec_id IN (SELECT DISTINCT vec_id FROM planes ORDER BY vec_id LIMIT 16)"))
+def _(s, d):
+    # the first images by name, as planes of channels; the limit is the operator's own
+    files = plane_images(s, d).select(F.format_string("img_%06d.png", "vec_id").alias("name"), "content").orderBy("name").limit(16)
+    px = images.decode_images(files, "name")
+    each = F.array(*[F.struct(F.lit(k).cast("long").alias("channel"), (F.col(c) / 255.0).alias("v")) for k, c in enumerate("rgb")])
+    return px.select("name", (F.col("y") * F.col("width") + F.col("x")).alias("at"), F.explode(each).alias("t")).select("name", "t.channel", "at", r6(F.col("t.v"), "v"))
+
+
+@query("src_file_sizes", sql("planes", "n AS (SELECT DISTINCT vec_id FROM planes) SELECT 'alpha.u8' AS kind, count(*) AS files, count(*) * 64 AS bytes FROM n UNION ALL SELECT 'raw.f32', count(*), count(*) * 256 FROM n WHERE vec_id % 9 <> 0 UNION ALL SELECT 'color.rgba8', count(*), count(*) * 256 FROM n"))
+def _(s, d):
+    f = plane_files(s, d).filter("path NOT LIKE '%.json'")
+    return f.groupBy(F.regexp_extract("path", r"\.(.+)$", 1).alias("kind")).agg(F.count("*").alias("files"), F.sum(F.octet_length("content")).alias("bytes"))
+
+
 def plane_files(s, d):
     """path, content: sidecar and raw planes of every vector; every ninth lacks its depth."""
     e = planes(s, d).groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "alpha", "depth", "r", "g", "b"))).alias("p"))
