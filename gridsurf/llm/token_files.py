@@ -9,7 +9,7 @@ sizes and every page has column and offset indexes, so that a reader can take
 n_tokens alone, or the ids of a range of doc_id alone.
 
 Cases: null or empty texts give the end id alone; rows with the same doc_id
-stand side by side, ordered by text; a null doc_id sorts first; an empty table
+stand side by side, ordered by their text's hash; a null doc_id sorts first; an empty table
 gives empty files; columns other than doc_id and text are not read.
 """
 
@@ -203,8 +203,10 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, end_id: int, n_
     common.tune(spark)
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-        .repartitionByRange(n_files or common.n_parts(spark), "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        .withColumn("h", F.xxhash64("text"))  # many rows may share a doc_id, or lack one
+        .repartitionByRange(n_files or common.n_parts(spark), "doc_id", "h")
+        .sortWithinPartitions("doc_id", "h", "text")
+        .select("doc_id", "text")
     )
 
     def encode(batches):
