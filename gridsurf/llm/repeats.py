@@ -182,8 +182,9 @@ class Repeats:
 
         each = self.met.groupBy("near", "far").agg(F.sum("copies").alias("times"), F.min(F.struct("doc_id", "uid", "at", "n")).alias("first"))
         each, each_path = common.write_table(each.select("near", "far", "times", "first.*"), "repeat-classes")
-        kinds = each.groupBy("near").agg(F.count("*").alias("kinds"))
-        each = each.join(kinds, "near").filter("times > 1 OR kinds > 1")
+        # counts are written, so that the joins read two plain shuffles and Spark may split a rank that many share
+        kinds, kinds_path = common.write_table(each.groupBy("near").agg(F.count("*").alias("kinds")).filter("kinds > 1"), "repeat-kinds")
+        each = each.join(kinds, "near", "left").withColumn("kinds", F.coalesce("kinds", F.lit(1))).filter("times > 1 OR kinds > 1")
         wanted = each.groupBy("uid").agg(F.collect_list(F.struct("near", "far", "times", "at", "n", "kinds")).alias("own"))
         texts = docs.join(wanted, "uid").dropDuplicates(["uid"]).select("uid", "doc_id", "text", "own")
 
@@ -219,14 +220,17 @@ class Repeats:
         held = texts.mapInArrow(ranked, "doc_id long, uid long, bucket int, lo int, content binary, own array<struct<near:long,far:long,times:long,at:int,n:int,ranks:array<long>>>")
         held, self.pieces_path = common.write_table(held, "repeat-pieces")
         common.drop_table(spark, each_path)
+        common.drop_table(spark, kinds_path)
         common.free(spark)
         self.pieces = held.select("uid", "bucket", "lo", "content")
 
         items = held.select("doc_id", "uid", F.explode("own").alias("e")).select("doc_id", "uid", "e.*")
         windows = items.select("near", "far", "times", "doc_id", "uid", "at", F.posexplode("ranks").alias("i", "rank"))
         firsts = windows.groupBy("near", "rank").agg(F.count("*").alias("kinds"), F.min(F.struct("doc_id", "uid", (F.col("at") + F.col("i")).alias("at"))).alias("first"))
+        firsts, firsts_path = common.write_table(firsts, "repeat-firsts")
         found = windows.join(firsts, ["near", "rank"]).filter("kinds > 1 OR times > 1")
         edges = found.groupBy("near", "far").agg(F.collect_list(F.struct("i", "first.doc_id", "first.uid", "first.at")).alias("edge"))
         done = items.drop("ranks").join(edges, ["near", "far"], "left").filter("times > 1 OR edge IS NOT NULL")
         self.classes, self.classes_path = common.write_table(done, "repeat-edges")
+        common.drop_table(spark, firsts_path)
         common.free(spark)

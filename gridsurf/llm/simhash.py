@@ -102,8 +102,9 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     # segment, wildcard's place and the value without that bit, in one long
     key = lambda s, bit: F.lit((s << 5 | bit) << 32).bitwiseOR(half[s].bitwiseAND(F.lit(0xFFFFFFFF & ~(1 << bit))))
     rows = distinct.select("fp", F.explode(F.array(*[key(s, bit) for s in (0, 1) for bit in range(32)])).alias("key"))
-    # counts are summed before the shuffle and joined back: no variant's fingerprints need meet to be counted
-    crowd = rows.join(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
+    # counts are summed before the shuffle and written: no variant's fingerprints need meet to be counted, and Spark may split the join
+    crowded, _ = common.write_table(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-crowded")
+    crowd = rows.join(crowded, "key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     pairs = crowd.withColumn("blocks", blocks).withColumn("own", own).select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
