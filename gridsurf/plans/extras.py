@@ -8,11 +8,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridsurf.functions import packing as P
-from gridsurf.operators import cloud, graph, stats
+from gridsurf.operators import cloud, graph, pyramid, stats
 from gridsurf.operators import windows as N
-from gridsurf.plans.clouds import _EIGHT, _PROBE, _SRC, _cc, inside_ratio, named, with_slot
-from gridsurf.plans.composites import ply_rows, splat_rows, spz_rows
-from gridsurf.plans.fixtures import disc, planes, points, r6, sql, table
+from gridsurf.plans.clouds import _EIGHT, _PROBE, _SRC, _UP, _cc, inside_ratio, named, with_slot
+from gridsurf.plans.composites import containers, ply_rows, splat_rows, spz_rows
+from gridsurf.plans.fixtures import disc, pixels, planes, points, r6, sql, table
 from gridsurf.plans.grids import _box, subject
 from gridsurf.plans.scalars import _POSES, _ROT, poses
 from gridsurf.sources import formats, images
@@ -117,6 +117,40 @@ def _(s, d):
     return formats.plane_scan(plane_files(s, d)).select("slot", "x", "y", "alpha", F.round("raw", 5).alias("raw"), "r", "g", "b")
 
 
+@query("codec_pgs_pixels", sql("planes", "SELECT vec_id, x, y, CAST(floor(depth * 65535 + 0.5) AS INT) >> 4 AS code, alpha FROM planes"))
+def _(s, d):
+    def read(batches):
+        import numpy as np
+        import pandas as pd
+
+        for t in batches:
+            for k, b in zip(t.vec_id, t.content, strict=True):
+                head, chunk = formats.from_pgs(b)
+                y, x = np.divmod(np.arange(head["width"] * head["height"]), head["width"])
+                hi, lo, alpha = (np.frombuffer(chunk[n], np.uint8).astype(np.int32) for n in ("DPTH", "DPTL", "ALFA"))
+                yield pd.DataFrame({"vec_id": k, "x": x, "y": y, "code": hi << 4 | lo >> 4, "alpha": alpha})
+
+    return containers(s, d).mapInPandas(read, "vec_id long, x int, y int, code int, alpha int")
+
+
+@query("catalog_models", "SELECT p_brand AS id, count(*) AS variants, CAST(sum(p_size * 1000) AS BIGINT) AS bytes, arg_min('part-' || p_partkey || '.onnx', p_partkey) AS first, coalesce(arg_min('part-' || p_partkey || '.onnx', p_partkey) FILTER (p_size % 3 = 0), arg_min('part-' || p_partkey || '.onnx', p_partkey)) AS small FROM part GROUP BY p_brand")
+def _(s, d):
+    # manifests are written as JSON text, one for each brand, and read back
+    mode = F.when(F.col("p_size") % 3 == 0, "uint8").otherwise("fp16")
+    v = F.struct("p_partkey", mode.alias("mode"), F.concat(F.lit("part-"), "p_partkey", F.lit(".onnx")).alias("file"), (F.col("p_size") * 1000).alias("bytes"))
+    text = table(s, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(v)).alias("variants")).select(F.to_json(F.struct(F.col("p_brand").alias("id"), "variants")).alias("text"))
+    m = text.select(F.from_json("text", "id string, variants array<struct<mode:string,file:string,bytes:bigint>>").alias("m")).select("m.*")
+    small = F.get(F.filter("variants", lambda e: e["mode"] == "uint8"), 0)["file"]
+    first = F.get("variants", 0)["file"]
+    return m.select("id", F.size("variants").cast("long").alias("variants"), F.aggregate("variants", F.lit(0).cast("long"), lambda a, e: a + e["bytes"]).alias("bytes"), first.alias("first"), F.coalesce(small, first).alias("small"))
+
+
+@query("pyr_laplacian_band", sql("px", _UP + " SELECT px.vec_id, px.x, px.y, round(px.v - u1.v, 6) AS v FROM px JOIN u1 ON u1.vec_id = px.vec_id AND u1.x = px.x AND u1.y = px.y"))
+def _(s, d):
+    _, band = pyramid.laplacian(pixels(s, d), 8)[0]
+    return band.select("vec_id", "x", "y", r6(F.col("v"), "v"))
+
+
 @query("sink_dispatch", sql("pts", "n AS (SELECT count(*) AS n FROM pts) SELECT f AS format, n, n * b AS body, f = 'spz' AS packed FROM n, (VALUES ('ply', 68), ('splat', 32), ('spz', 19)) t(f, b)"))
 def _(s, d):
     rows = {"splat": splat_rows, "ply": ply_rows, "spz": spz_rows}
