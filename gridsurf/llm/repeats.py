@@ -153,11 +153,13 @@ def scan_items(docs: DataFrame, symbols, width: int, gram: int, block: int) -> D
     return docs.select("uid", "doc_id", "text").mapInArrow(scan, "near long, far long, doc_id long, uid long, at int, n int")
 
 
-def met_items(docs: DataFrame, symbols, width: int, gram: int, block: int) -> DataFrame:
-    """The items of docs whose near rank others share."""
+def met_items(docs: DataFrame, symbols, width: int, gram: int, block: int) -> tuple[DataFrame, str]:
+    """The items of docs whose near rank others share, as a table, and its path."""
     # a rank that many share is summed before the shuffle; its rows then meet it in a join, which Spark may split
-    near, _ = common.write_table(near_ranks(docs, symbols, width, gram, block), "repeat-near")
-    return scan_items(docs, symbols, width, gram, block).join(near, "near").withColumn("copies", F.lit(1))
+    near, near_path = common.write_table(near_ranks(docs, symbols, width, gram, block), "repeat-near")
+    met = common.write_table(scan_items(docs, symbols, width, gram, block).join(near, "near").withColumn("copies", F.lit(1)), "repeat-items")
+    common.drop_table(docs.sparkSession, near_path)
+    return met
 
 
 #: Symbols of a piece of content: items that start in the same stretch of so many symbols share it.
@@ -175,9 +177,10 @@ class Repeats:
     (what content(text, row, at, size) cuts out), where content is given.
     """
 
-    def __init__(self, docs: DataFrame, met: DataFrame, symbols, width: int, content=None):
+    def __init__(self, docs: DataFrame, met: tuple[DataFrame, str], symbols, width: int, content=None):
+        """met: a table that write_table has written, and its path."""
         spark = docs.sparkSession
-        self.met, self.met_path = common.write_table(met, "repeat-items")
+        self.met, self.met_path = met
         common.free(spark)
 
         each = self.met.groupBy("near", "far").agg(F.sum("copies").alias("times"), F.min(F.struct("doc_id", "uid", "at", "n")).alias("first"))

@@ -35,8 +35,8 @@ from gridsurf.llm import common, repeats
 
 WIDTH = 400
 GRAM = 16
-#: Grams of a synchronising run: a third of those of a string, so that each string holds two positions at least.
-SPAN = 128
+#: Grams of a synchronising run: half of those of a string, so that each string holds two positions at least.
+SPAN = 192
 
 
 def symbols(column) -> tuple[np.ndarray, np.ndarray]:
@@ -196,9 +196,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, span:
 def recurring(once: DataFrame, levels: list[tuple[DataFrame, str]], width: int, gram: int, span: int) -> tuple[DataFrame, str]:
     """uid and hits (at, n, some: which of the n strings from `at` on recur, null for all)."""
     spark = once.sparkSession
-    found = repeats.Repeats(once, run_items(once, [x for x, _ in levels], width, gram, span), symbols, width)
+    met = common.write_table(run_items(once, [x for x, _ in levels], width, gram, span), "doubled")
     for _, path in levels:
         common.drop_table(spark, path)
+    found = repeats.Repeats(once, met, symbols, width)
     # null: all windows of the item; else those that recur
     kinds = found.classes.select("near", "far", F.when(F.col("times") < 2, F.transform("edge", lambda e: e["i"])).alias("some"))
     hit = found.met.join(kinds, ["near", "far"]).select("uid", F.struct("at", "n", "some").alias("hit")).dropDuplicates(["uid", "hit"])
