@@ -229,9 +229,11 @@ class Repeats:
 
         items = held.select("doc_id", "uid", F.explode("own").alias("e")).select("doc_id", "uid", "e.*")
         windows = items.select("near", "far", "times", "doc_id", "uid", "at", F.posexplode("ranks").alias("i", "rank"))
-        firsts = windows.groupBy("near", "rank").agg(F.count("*").alias("kinds"), F.min(F.struct("doc_id", "uid", (F.col("at") + F.col("i")).alias("at"))).alias("first"))
+        here = F.struct("doc_id", "uid", (F.col("at") + F.col("i")).alias("at"))
+        firsts = windows.groupBy("near", "rank").agg(F.count("*").alias("kinds"), F.min(here).alias("first")).filter("kinds > 1")
         firsts, firsts_path = common.write_table(firsts, "repeat-firsts")
-        found = windows.join(firsts, ["near", "rank"]).filter("kinds > 1 OR times > 1")
+        # a window of one kind recurs if its item does, and then its own place is the first
+        found = windows.join(firsts, ["near", "rank"], "left").filter("kinds > 1 OR times > 1").withColumn("first", F.coalesce("first", here))
         edges = found.groupBy("near", "far").agg(F.collect_list(F.struct("i", "first.doc_id", "first.uid", "first.at")).alias("edge"))
         done = items.drop("ranks").join(edges, ["near", "far"], "left").filter("times > 1 OR edge IS NOT NULL")
         self.classes, self.classes_path = common.write_table(done, "repeat-edges")
