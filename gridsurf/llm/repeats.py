@@ -232,6 +232,7 @@ class Repeats:
         here = F.struct("doc_id", "uid", (F.col("at") + F.col("i")).alias("at"))
         firsts = windows.groupBy("near", "rank").agg(F.count("*").alias("kinds"), F.min(here).alias("first")).filter("kinds > 1")
         firsts, firsts_path = common.write_table(firsts, "repeat-firsts")
+        common.free(spark)  # the windows' shuffle, before they are shuffled again
         # a window of one kind recurs if its item does, and then its own place is the first
         found = windows.join(firsts, ["near", "rank"], "left").filter("kinds > 1 OR times > 1").withColumn("first", F.coalesce("first", here))
         edges = found.groupBy("near", "far").agg(F.collect_list(F.struct("i", "first.doc_id", "first.uid", "first.at")).alias("edge"))
