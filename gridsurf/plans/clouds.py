@@ -400,20 +400,8 @@ o AS (SELECT b.*, ix + i AS jx, iy + j AS jy, iz + k AS jz FROM g b, range(-1, 2
 hit AS (SELECT DISTINCT s.pid FROM g s JOIN o b ON b.jx = s.ix AND b.jy = s.iy AND b.jz = s.iz WHERE b.source <> s.source AND (b.x - s.x) * (b.x - s.x) + (b.y - s.y) * (b.y - s.y) + (b.z - s.z) * (b.z - s.z) <= 0.0004 AND b.nx * s.nx + b.ny * s.ny + b.nz * s.nz >= 0.7)
 SELECT count(*) AS n, count(hit.pid) AS doubled FROM pts LEFT JOIN hit USING (pid)"""))
 def _(s, d):
-    # every point is probed, against all points of the 27 cells around it; the first partner ends a probe
-    p = points(s, d).select("pid", "source", "x", "y", "z", "nx", "ny", "nz")
-    cell = lambda c: F.floor(F.col(c) * 50)
-    near = F.array(*[F.lit(k) for k in (-1, 0, 1)])
-    other = p.select(*(F.col(c).alias(f"o_{c}") for c in p.columns if c != "pid"), *(cell(c).alias(f"i{c}") for c in "xyz"))
-    for c in "xyz":
-        other = other.withColumn("_k", F.explode(near)).withColumn(f"i{c}", F.col(f"i{c}") + F.col("_k")).drop("_k")
-    own = p.select("*", *(cell(c).alias(f"i{c}") for c in "xyz"))
-    other = other.withColumnsRenamed({f"i{c}": f"j{c}" for c in "xyz"})
-    d2 = sum(((F.col(c) - F.col(f"o_{c}")) * (F.col(c) - F.col(f"o_{c}")) for c in "xyz"), F.lit(0.0))
-    dot = sum((F.col(f"n{c}") * F.col(f"o_n{c}") for c in "xyz"), F.lit(0.0))
-    same = (F.col("ix") == F.col("jx")) & (F.col("iy") == F.col("jy")) & (F.col("iz") == F.col("jz"))
-    hit = own.join(other, same & (F.col("source") != F.col("o_source")) & (d2 <= 0.0004) & (dot >= 0.7), "left_semi").agg(F.count("*").alias("doubled"))
-    return p.agg(F.count("*").alias("n")).crossJoin(F.broadcast(hit))  # one row each
+    n, doubled = cloud.partnered(points(s, d), 0.02, 0.7)
+    return s.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(doubled).cast("long").alias("doubled"))
 
 
 # --- rendering ---------------------------------------------------------------
