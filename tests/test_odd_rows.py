@@ -34,7 +34,7 @@ def equal(spark, folder, name: str, tables: dict[str, str]) -> int:
 CENTRE = {"lineitem": " UNION ALL ".join([SOURCE + " WHERE l_orderkey < 300", line(), line(2, 2, tax=0)])}
 
 
-@pytest.mark.parametrize("name", ["geo_quat_from_normal", "codec_ply_decode", "codec_splat_decode", "codec_spz_header", "sink_dispatch", "sink_ply_rows", "sink_spz_rows"])
+@pytest.mark.parametrize("name", ["geo_quat_from_normal", "codec_ply_decode", "codec_splat_decode", "codec_spz_header", "sink_dispatch", "sink_ply_rows", "sink_spz_rows", "sink_splat_rows"])
 def test_points_without_a_normal(spark, tmp_path, name):
     assert equal(spark, tmp_path, name, CENTRE) > 0
 
@@ -44,3 +44,9 @@ def test_partners_across_cells_and_without_a_normal(spark, tmp_path):
     rows = [line(1, 1), line(2, 2), line(3, 1, price=25515), line(4, 2, price=25534, tax=0), line(5, 3, 10, 1515, 0.01, 0.02), line(6, 3, 10, 1515, 0.01, 0.02), line(7, 1, 11, 1516, 0.01, 0.02)]
     more = f"SELECT * FROM ({SOURCE}) UNION ALL SELECT l_orderkey + 150000, l_partkey, l_suppkey, l_linenumber + 1, l_quantity, l_extendedprice + 3, l_discount, l_tax FROM ({SOURCE})"
     assert equal(spark, tmp_path, "join_double_rate_semi", {"lineitem": " UNION ALL ".join([more, *rows])}) == 1
+
+
+
+def test_weights_round_as_doubles(spark, tmp_path):
+    # 0.16065 at four decimals is the decimal 0.1607, but the double lies below it
+    assert equal(spark, tmp_path, "sink_splat_rows", {"lineitem": line(448483, 4, 18, 1531.25)}) == 1
