@@ -31,9 +31,9 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies (five-word shingles, similarity 0.8): of each component one document stays, that of the smallest doc_id."""
+    """Operator 4's links and, for near copies that it does not reach, shared minimum hashes, all verified (five-word shingles, similarity 0.8): of each component one document stays, that of the smallest doc_id."""
     row = F.xxhash64(*COLUMNS)
-    stay = near.near_copies(docs, row).filter("leads").select("own").distinct()
+    stay = near.near_copies(docs, row, hashed=True).filter("leads").select("own").distinct()
     kept = docs.select(*COLUMNS, row.alias("_own")).join(stay.withColumnRenamed("own", "_own"), "_own", "left_semi")
     # rows equal in all columns: one of them stays
     return kept.groupBy("_own").agg(*(F.first(c).alias(c) for c in COLUMNS)).select(*COLUMNS)

@@ -1,4 +1,4 @@
-"""Near copies by exact Jaccard similarity of word shingles (the corpus pipeline's near-duplicate stage).
+"""Near copies by exact Jaccard similarity of word shingles, and candidates by operator 4's SimHash and by minimum hashes (the corpus pipeline's near-duplicate stage).
 
 Two texts are linked where the sets of their shingles of SHINGLE = 5 words have
 a Jaccard similarity of SIMILAR = 0.8 at least. Candidates share a band of
@@ -11,7 +11,9 @@ compared, in blocks, each of which gives a spanning forest in place of pairs. No
 
 Deletion variants of a 64-bit SimHash do not reach this far: texts of
 similarity 0.8 differ in about 10 bits, and segments that leave one of them to
-the wildcard are too short to tell millions of texts apart.
+the wildcard are too short to tell millions of texts apart. With `hashed` their links
+(operator 4's, at its distance) are candidates as well, verified like those of the bands: fingerprints may be equal
+where one repeated line outweighs all else.
 
 Cases: null, empty and wordless texts are copies of each other; texts of one to
 four words are one shingle; rows with the same doc_id each keep a row; a null
@@ -25,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridsurf.llm import common, graph
+from gridsurf.llm import common, graph, simhash
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -73,8 +75,8 @@ def similarity(a: bytes, b: bytes, size: int = SHINGLE) -> float:
     return both / max(len(x) + len(y) - both, 1)
 
 
-def _classes(docs: DataFrame, own) -> DataFrame:
-    """doc_id, own (a hash of the row), cid (hash of the folded words), line (the words) and bands of each row."""
+def _classes(docs: DataFrame, own, hashed: bool) -> DataFrame:
+    """doc_id, own (a hash of the row), cid (hash of the folded words), line (the words), bands and, with `hashed`, fp (operator 4's fingerprint) of each row."""
     common.tune(docs.sparkSession)
 
     def scan(batches):
@@ -86,11 +88,23 @@ def _classes(docs: DataFrame, own) -> DataFrame:
                 lines = [b" ".join(t.encode("utf-8", "surrogatepass").lower().split()) for t in b.column(2).slice(a, z - a).to_pylist()]
                 cid = np.array([h(t) for t in lines], np.uint64).view(np.int64)
                 keys = bands(lines).view(np.int64)
+                fp = simhash.fingerprints(lines).view(np.int64) if hashed else np.zeros(len(lines), np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), pa.array(cid), pa.array(lines, pa.binary()), lists], ["doc_id", "own", "cid", "line", "bands"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, z - a), b.column(1).slice(a, z - a), pa.array(cid), pa.array(lines, pa.binary()), lists, pa.array(fp)], ["doc_id", "own", "cid", "line", "bands", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), own.alias("own"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, own long, cid long, line binary, bands array<long>")
+    return rows.mapInArrow(scan, "doc_id long, own long, cid long, line binary, bands array<long>, fp long")
+
+
+def _hashed(each: DataFrame) -> DataFrame:
+    """Pairs a, b of classes that connect all whose fingerprints operator 4 links."""
+    heads, path = common.write_table(each.groupBy("fp").agg(F.min("cid").alias("head")), "near-prints")
+    same = each.select("fp", "cid").join(heads, "fp").filter("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b"))
+    named = lambda c: heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}"))
+    far = simhash.links(heads.select("fp")).join(named("a"), "a").join(named("b"), "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+    out, _ = common.write_table(same.unionByName(far), "near-hashed")
+    common.drop_table(each.sparkSession, path)
+    return out
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
@@ -147,23 +161,25 @@ def forest(cid: np.ndarray, root: np.ndarray, own: np.ndarray | None, lines: lis
     return out
 
 
-def near_copies(docs: DataFrame, own=None) -> DataFrame:
+def near_copies(docs: DataFrame, own=None, hashed: bool = False) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable by links), own and `leads` for each row of docs.
 
     own: a hash that tells rows apart, of doc_id and text unless given. Of a component the rows with the smallest doc_id
     (null after all others), and of those the ones with the smallest hash, lead: one row, or rows that are equal in what is hashed.
+    hashed: the links of operator 4 are candidates as well.
     """
-    marked, _ = common.write_table(_classes(docs, F.xxhash64("doc_id", "text") if own is None else own), "near")
+    marked, _ = common.write_table(_classes(docs, F.xxhash64("doc_id", "text") if own is None else own, hashed), "near")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")
-    each = marked.groupBy("cid").agg(F.min(place).alias("low"), F.first("line").alias("line"), F.first("bands").alias("bands"))
+    each = marked.groupBy("cid").agg(F.min(place).alias("low"), F.first("line").alias("line"), F.first("bands").alias("bands"), F.first("fp").alias("fp"))
     each, _ = common.write_table(each, "near-classes")
+    prints = _hashed(each) if hashed else None
     rows = each.filter(F.length("line") > 0).select("cid", F.explode("bands").alias("key"))
     # summed before the shuffle and written, so that Spark may split a band key that many share
     heads, _ = common.write_table(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("cid").alias("head")).filter("n > 1"), "near-heads")
     crowd = rows.join(heads, "key")
     crowd, _ = common.write_table(crowd, "near-bands")
     stars = crowd.filter("cid <> head").select(F.col("head").alias("a"), F.col("cid").alias("b")).distinct()
-    one, _ = common.write_table(_verified(stars, each), "near-links")
+    one, _ = common.write_table(_verified(stars if prints is None else stars.unionByName(prints).distinct(), each), "near-links")
     found, _ = common.write_table(graph.components(one), "near-roots")
     # the head is compared with all of its band; what is not connected by now is compared pair by pair
     rest = crowd.filter("cid <> head").join(found.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))

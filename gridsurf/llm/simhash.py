@@ -34,13 +34,13 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(fingerprints([text or ""], size)[0])
 
 
-def fingerprints(texts: list[str], size: int = SHINGLE) -> np.ndarray:
+def fingerprints(texts: list[str] | list[bytes], size: int = SHINGLE) -> np.ndarray:
     """Unsigned 64-bit fingerprints: XXH64 of each shingle votes on each bit, over half the votes set it."""
     from xxhash import xxh64_intdigest as h
 
     out = np.zeros(len(texts), np.uint64)
     for i, t in enumerate(texts):
-        words = t.encode("utf-8", "surrogatepass").lower().split()
+        words = (t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass")).lower().split()
         n = len(words)
         if not n:
             continue
