@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from gridsurf.llm import common, repeats
 
-SAMPLES = 2
+SAMPLES = 3
 SHIFT, POWER = 10.0, 0.5
 META = "▁"
 #: Share of a word's segmentations, for each of its bytes, that rounding may leave where nothing is left.

@@ -277,3 +277,11 @@ def test_language_edges(spark, odd, empty):
     blank = spark.createDataFrame([(1, "12 34 !!"), (2, "日本")], "doc_id long, text string")
     assert {r.doc_id: r.lang_pred for r in language.predict(blank, model).collect()} == {1: "und", 2: "en"}
     assert {r.lang_pred for r in language.predict(blank, language.learn(empty)).collect()} == {"und"}
+
+
+def test_the_query_draws_three_segmentations(spark, tmp_path):
+    own = {1: "a text of some words", 2: "and another one, longer than the first", 3: ""}
+    spark.createDataFrame([(k, t) for k, t in own.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = pieces.op2_pieces(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.draw) for r in rows) == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (2, 3), (3, 1)]
+    assert len({r.ids_crc32 for r in rows}) == 7 and all(r.round_trip for r in rows)
