@@ -174,6 +174,39 @@ def test_strings_match_brute_force(docs, texts):
     assert sum(w[1] for w in want.values()) > 5000
 
 
+def shuffled(spark) -> int:
+    """Rows that all stages so far have shuffled."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_edges_of_repeats_are_not_shuffled_string_by_string(spark):
+    rng = np.random.default_rng(10)
+    noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    texts, edges = {}, 0
+    for k in range(48):  # twins that share all sizes about the threshold, at all distances from their edges
+        shared = noise(int(rng.integers(396, 440)) if k % 3 else 1500)
+        for j in range(2):
+            texts[10 * k + j] = noise(int(rng.integers(0, 300))) + shared + noise(int(rng.integers(0, 300)))
+        edges += len(texts[10 * k]) + len(texts[10 * k + 1]) - 798
+    texts |= {1000 + k: texts[0][5 * k :] + noise(k) for k in range(20)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    before = shuffled(spark)
+    rows = suffix_dedup.remove_repeats(df).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == suffix_dedup.brute(texts)
+    moved = shuffled(spark) - before
+    assert moved < edges / 4  # each string apart: over a third
+
+
+@pytest.mark.parametrize("block", [1, 7, 400])
+def test_stretches_of_any_length(docs, texts, monkeypatch, block):
+    monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+    rows = suffix_dedup.remove_repeats(docs).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == suffix_dedup.brute(texts)
+
+
 def test_repeats_edges(odd, empty):
     assert substring.remove_passages(empty).count() == suffix_dedup.remove_repeats(empty).count() == 0
     a, b = substring.remove_passages(odd).collect(), suffix_dedup.remove_repeats(odd).collect()
