@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from gridsurf.plans import registry
+from gridsurf.sources import formats
 
 LINES = "SELECT {key} AS l_orderkey, 7::BIGINT AS l_partkey, 5::BIGINT AS l_suppkey, {line} AS l_linenumber, {quantity}::DOUBLE AS l_quantity, {price}::DOUBLE AS l_extendedprice, {discount}::DOUBLE AS l_discount, {tax}::DOUBLE AS l_tax"
 SOURCE = "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax FROM '/root/testdata/sf0.001/lineitem.parquet'"
@@ -68,3 +69,19 @@ def test_boxes_without_a_subject_and_planes_that_share_an_id(spark, tmp_path):
     at = "SELECT {i}::BIGINT AS vec_id, list_transform(range(64), lambda p: (CASE WHEN {subject} THEN 0.2 ELSE -0.2 END)::FLOAT) AS embedding, {label}::INT AS label"
     planes = [at.format(i=1, label=1, subject="p % 8 > 5"), at.format(i=3, label=3, subject="false"), at.format(i=7, label=0, subject="p < 20"), at.format(i=7, label=2, subject="p > 30")]
     assert equal(spark, tmp_path, "geo_recrop_fixpoint", {"embeddings": " UNION ALL ".join(planes)}) == 3
+
+
+def test_spz_rows_hold_every_column_of_the_format(spark, tmp_path):
+    body = ["fx", "fy", "fz", "alpha", "c0", "c1", "c2", "l0", "l1", "l2", "q1", "q2", "q3"]
+    assert equal(spark, tmp_path, "sink_spz_rows", CENTRE) > 0
+    rows = registry.QUERIES["sink_spz_rows"](spark, str(tmp_path))
+    assert rows.columns == ["pid", *body]
+    # one column after another, as the format lays them out
+    p = rows.orderBy("pid").toPandas()
+    file = formats.to_spz(p)
+    n = len(p)
+    assert len(file) == 16 + 19 * n
+    at = 16 + 9 * n + n
+    for group in (["c0", "c1", "c2"], ["l0", "l1", "l2"], ["q1", "q2", "q3"]):
+        assert list(file[at : at + 3 * n]) == p[group].to_numpy().ravel().tolist()
+        at += 3 * n
