@@ -28,7 +28,9 @@ and text are not read.
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import itertools
 import zlib
 
 import numpy as np
@@ -64,9 +66,6 @@ class Vocabulary:
                 self.bytes[i] = p.replace(META, " ").encode()
                 words.setdefault(self.bytes[i], i)
         self.log = -POWER * np.log(np.arange(n) + SHIFT)
-        self.size = np.array([len(b) for b in self.bytes], np.int64)
-        self.start = np.cumsum(self.size) - self.size
-        self.flat = np.frombuffer(b"".join(self.bytes), np.uint8)
         # trie: child of a node by byte; 0 is none, node 0 the root
         table: list[dict[int, int]] = [{}]
         at_end: list[int] = [-1]
@@ -81,22 +80,22 @@ class Vocabulary:
                     at_end.append(-1)
                 node = nxt
             at_end[node] = i
+        # nodes with children come first, so that a node's number tells whether it has any
         inner = [k for k, t in enumerate(table) if t]
-        self.row = np.zeros(len(table), np.int32)  # row of a node's children; the last row is empty
-        self.row[:] = len(inner)
-        self.row[inner] = np.arange(len(inner))
-        self.child = np.zeros((len(inner) + 1, 256), np.int32)
+        order = np.array(inner + [k for k, t in enumerate(table) if not t])
+        number = np.empty(len(table), np.int32)
+        number[order] = np.arange(len(order))
+        self.inner = max(1, len(inner))
+        child = np.zeros((self.inner, 256), np.int32)
         for k, node in enumerate(inner):
             for c, nxt in table[node].items():
-                self.child[k, c] = nxt
-        self.piece = np.array(at_end, np.int32)
+                child[k, c] = number[nxt]
+        self.child = child.ravel()  # by node * 256 + byte
+        self.piece = np.array(at_end, np.int32)[order]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of a run of ids."""
-        size = self.size[ids]
-        total = int(size.sum())
-        at = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.start[ids], size)
-        return self.flat[at].tobytes()
+        return b"".join(map(self.bytes.__getitem__, ids.tolist()))
 
 
 _vocabularies: dict[str, Vocabulary] = {}
@@ -114,77 +113,82 @@ def normal(text: str | None) -> bytes:
 
 
 class Lattice:
-    """All piece edges of some words: of each byte position its edges, and the summed weight of suffixes."""
+    """All piece edges of some words: of each byte position its edges, and the summed weight of suffixes.
+
+    Positions are numbered by their distance from the word's end, and edges lie in that order, so that those of one distance are one slice.
+    """
 
     def __init__(self, voc: Vocabulary, raw: np.ndarray, start: np.ndarray, stop: np.ndarray):
         n = len(raw)
         end = np.repeat(stop, stop - start)
         lead = (raw & 0xC0) != 0x80
-        at_all, id_all, len_all = [], [], []
+        found = []  # place, piece, length, edges of the place before it
         at = np.flatnonzero(lead)
         node = np.zeros(len(at), np.int32)
         depth = 0
-        char = np.ones(n, np.int64)
+        char = np.ones(n, np.int8)
         char[raw >= 0xC0], char[raw >= 0xE0], char[raw >= 0xF0] = 2, 3, 4
         single = np.zeros(n, bool)
+        self.count = np.zeros(n, np.int32)
         while len(at):
-            node = voc.child[voc.row[node], raw[at + depth]]
+            node = voc.child[(node << 8) + raw[at + depth]]
             depth += 1
-            live = node > 0
+            live = np.flatnonzero(node)
             at, node = at[live], node[live]
             hit = voc.piece[node]
-            ok = hit >= 0
-            at_all.append(at[ok]), id_all.append(hit[ok]), len_all.append(np.full(int(ok.sum()), depth, np.int64))
-            single[at[ok][char[at[ok]] == depth]] = True
-            more = at + depth < end[at]
+            ok = np.flatnonzero(hit >= 0)
+            own = at[ok]
+            before = self.count[own]
+            self.count[own] = before + 1
+            found.append((own, hit[ok], depth, before))
+            if depth <= 4:
+                single[own[char[own] == depth]] = True
+            more = np.flatnonzero((node < voc.inner) & (at + depth < end[at]))
             at, node = at[more], node[more]
         # characters without a piece: their bytes
         owner = np.maximum.accumulate(np.where(lead, np.arange(n), 0))
         lone = np.flatnonzero(~single[owner])
-        at_all.append(lone), id_all.append(voc.byte_id[raw[lone]]), len_all.append(np.ones(len(lone), np.int64))
-        # edges in order of place, then length; a place has one edge of a length at most
-        self.count = np.zeros(n, np.int32)
-        for a in at_all:
-            self.count[a] += 1
-        self.first = np.cumsum(self.count) - self.count
-        fill = self.first.copy()
-        at = np.empty(int(self.count.sum()), np.int64)
-        self.id, self.size = np.empty(len(at), np.int32), np.empty(len(at), np.int64)
-        for a, i, z in zip(at_all, id_all, len_all, strict=True):
-            e = fill[a]
-            at[e], self.id[e], self.size[e] = a, i, z
-            fill[a] += 1
-        # logarithms of the suffix sums, positions in order of their distance from the word's end
+        found.append((lone, voc.byte_id[raw[lone]], 1, self.count[lone]))
+        self.count[lone] += 1
+        left = end - np.arange(n)
+        most = int(left.max(initial=0))
+        pos = np.argsort(left.astype(np.int16) if most < 1 << 15 else left, kind="stable")
+        pos = pos[self.count[pos] > 0]
+        k = self.count[pos]
+        stops = np.cumsum(k, dtype=np.int64)
+        head = stops - k
+        self.first = np.zeros(n, np.int64)
+        self.first[pos] = head
+        mine = np.repeat(np.arange(len(pos)), k)  # of each edge the number of its position
+        self.id, self.size = np.empty(len(mine), np.int32), np.empty(len(mine), np.int32)
+        for a, i, z, before in found:
+            e = self.first[a] + before
+            self.id[e], self.size[e] = i, z
+        # logarithms of the suffix sums, from the words' ends on; total[n] is that of nothing
         self.log_weight = voc.log[self.id]
         self.total = np.zeros(n + 1)
-        left = end - np.arange(n)
-        by_left = np.argsort(left, kind="stable")
-        groups = np.searchsorted(left[by_left], np.arange(1, int(left.max(initial=0)) + 2))
-        closes = at + self.size == end[at]
+        at = pos[mine]
+        to = at + self.size
+        to[to == end[at]] = n
         part = self.log_weight.copy()
-        for t in range(len(groups) - 1):
-            pos = by_left[groups[t] : groups[t + 1]]
-            pos = pos[self.count[pos] > 0]
-            if not len(pos):
+        groups = np.searchsorted(left[pos], np.arange(1, most + 2)).tolist()
+        for p, q in zip(groups[:-1], groups[1:], strict=True):
+            if p == q:
                 continue
-            k = self.count[pos]
-            head = np.cumsum(k) - k
-            e = np.repeat(self.first[pos] - head, k) + np.arange(int(k.sum()))
-            part[e] += np.where(closes[e], 0.0, self.total[np.minimum(at[e] + self.size[e], n)])
-            most = np.maximum.reduceat(part[e], head)
-            self.total[pos] = most + np.log(np.add.reduceat(np.exp(part[e] - np.repeat(most, k)), head))
+            a, z = int(head[p]), int(stops[q - 1])
+            part[a:z] += self.total[to[a:z]]
+            heads = head[p:q] - a
+            best = np.maximum.reduceat(part[a:z], heads)
+            self.total[pos[p:q]] = best + np.log(np.add.reduceat(np.exp(part[a:z] - best[mine[a:z] - p]), heads))
         self.chance = np.exp(part - self.total[at])
-        # cumulative chances of a position's edges, padded to the widest
-        width = int(self.count.max(initial=1))
-        self.step = np.full((n, width), 2.0, np.float32)
+        # cumulative chances of a position's edges; the last edge takes what is left
         total = np.cumsum(self.chance)
-        before = total[self.first.clip(max=max(0, len(total) - 1))] - self.chance[self.first.clip(max=max(0, len(total) - 1))]
-        self.step[at, np.arange(len(at)) - self.first[at]] = total - before[at]
-        has = self.count > 0
-        self.step[np.flatnonzero(has), self.count[has] - 1] = 2.0  # the last edge takes what is left
+        self.step = (total - (total[head] - self.chance[head])[mine]).astype(np.float32)
+        self.step[stops - 1] = 2.0
 
 
 _M = (1 << 64) - 1
+PLACE = 0x9E3779B97F4A7C15
 
 
 def _mix(h: int) -> int:
@@ -198,12 +202,12 @@ def _mix(h: int) -> int:
 
 def uniform_one(seed: int, draw: int, place: int) -> float:
     """uniform() of one place."""
-    h = _mix(_mix(seed + place * 0x9E3779B97F4A7C15 & _M) + draw * 0xBF58476D1CE4E5B9 & _M)
+    h = _mix(_mix(seed + place * PLACE & _M) + draw * 0xBF58476D1CE4E5B9 & _M)
     return ((h >> 11) + 0.5) * 2.0**-53
 
 
 def uniform(seed: np.ndarray, draw, place: np.ndarray) -> np.ndarray:
-    h = common.mix64(common.mix64(seed + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(draw * 0xBF58476D1CE4E5B9 & _M))
+    h = common.mix64(common.mix64(seed + place.astype(np.uint64) * np.uint64(PLACE)) + np.uint64(draw * 0xBF58476D1CE4E5B9 & _M))
     return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
@@ -211,6 +215,7 @@ class Words:
     """A slice of texts as a chain of words, with the lattice of its distinct words."""
 
     def __init__(self, voc: Vocabulary, texts: list[str | None], seeds: np.ndarray):
+        self.voc = voc
         parts = [normal(t) for t in texts]
         self.raw = raw = np.frombuffer(b"".join(parts), np.uint8)
         size = np.array([len(p) for p in parts], np.int64)
@@ -220,6 +225,7 @@ class Words:
         begin = space.copy()
         begin[1:] &= ~space[:-1]
         begin[self.doc] = True
+        self.opens = begin
         start = np.flatnonzero(begin)
         self.start, self.stop = start, np.append(start[1:], len(raw))
         self.least = LEAST * (self.stop - self.start)
@@ -237,42 +243,50 @@ class Words:
 
     def draw(self, which: np.ndarray, number: int, edge: np.ndarray) -> None:
         """Samples the words `which`, writing into edge (by byte: edge of the lattice + 1) what starts there."""
-        at, stop, shift = self.start[which].copy(), self.stop[which], self.shift[which]
-        owner = self.owner[which]
-        seed, zero = self.seed[owner], self.doc[owner]
+        at, stop, shift = self.start[which], self.stop[which], self.shift[which]
+        # uniform() of places in the text, from places in the slice
+        seed = (self.seed - self.doc.astype(np.uint64) * np.uint64(PLACE))[self.owner[which]]
         lat = self.lattice
         while len(at):
-            row = at + shift
-            u = uniform(seed, number, at - zero).astype(np.float32)
-            e = lat.first[row] + (lat.step[row] <= u[:, None]).sum(1)
+            u = uniform(seed, number, at).astype(np.float32)
+            e = lat.first[at + shift]
+            on = np.flatnonzero(lat.step[e] <= u)
+            v, next_ = u[on], e[on] + 1
+            while len(on):
+                e[on] = next_
+                more = np.flatnonzero(lat.step[next_] <= v)
+                on, v, next_ = on[more], v[more], next_[more] + 1
             edge[at] = e + 1
             at = at + lat.size[e]
-            live = at < stop
-            if not live.all():
-                at, stop, shift, seed, zero = at[live], stop[live], shift[live], seed[live], zero[live]
+            live = np.flatnonzero(at < stop)
+            if len(live) < len(at):
+                at, stop, shift, seed = at[live], stop[live], shift[live], seed[live]
 
-    def word_logs(self, edge: np.ndarray) -> np.ndarray:
-        """Log-probability of each word's segmentation."""
-        at = np.flatnonzero(edge)
-        return np.minimum(np.add.reduceat(self.lattice.log_weight[edge[at] - 1], np.searchsorted(at, self.start)) - self.total, 0.0)
+    def word_logs(self, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Log-probability of each word's segmentation; the pieces of all words, and the first one of each word."""
+        at = np.flatnonzero(edge != 0)
+        own = self.lattice.id[edge[at] - 1]
+        head = np.flatnonzero(self.opens[at])
+        return np.minimum(np.add.reduceat(self.voc.log[own], head) - self.total, 0.0), own, head
 
     def other(self, word: int, doc: int, number: int, banned: list[tuple[int, ...]]) -> list[int]:
         """A segmentation of a word (its edges) that is none of the banned ones, drawn by what they leave at each step."""
         lat, at, stop = self.lattice, int(self.start[word] + self.shift[word]), int(self.stop[word] + self.shift[word])
         logs = [sum(float(lat.log_weight[e]) for e in b) - float(self.total[word]) for b in banned]
         alive = [(b, float(np.exp(v))) for b, v in zip(banned, logs, strict=True)]
-        reach, path, step = 1.0, [], 0
+        reach, path, step, seed = 1.0, [], 0, int(self.seed[doc])
         while at < stop:
             e0, k = int(lat.first[at]), int(lat.count[at])
-            share = reach * lat.chance[e0 : e0 + k]
+            chance = lat.chance[e0 : e0 + k].tolist()  # a few numbers: lists are faster than arrays
+            share = [reach * c for c in chance]
             for b, p in alive:
                 share[b[step] - e0] -= p
-            share = np.maximum(share, 0.0)
-            if not share.sum() > 0:
-                share = np.ones(k)
-            u = uniform_one(int(self.seed[doc]), number, (1 << 40) + step)
-            pick = e0 + min(k - 1, int(np.searchsorted(np.cumsum(share) / share.sum(), u, "right")))
-            reach *= float(lat.chance[pick])
+            total = list(itertools.accumulate(max(c, 0.0) for c in share))
+            if not total[-1] > 0:
+                total = list(range(1, k + 1))
+            u = uniform_one(seed, number, (1 << 40) + step)
+            pick = e0 + min(k - 1, bisect.bisect_right([t / total[-1] for t in total], u))
+            reach *= chance[pick - e0]
             alive = [(b, p) for b, p in alive if b[step] == pick]
             path.append(pick)
             at += int(lat.size[pick])
@@ -290,7 +304,13 @@ def sample(voc: Vocabulary, texts: list[str | None], seeds, k: int = SAMPLES):
     # value of the best of all segmentations: a standard Gumbel variable
     best = -np.log(-np.log(uniform(words.seed, 0, zero + (1 << 41))))
     edges: list[np.ndarray] = []
-    logs: list[np.ndarray] = []
+    ids: list[list[np.ndarray]] = []  # of each draw and text
+
+    def path(draw: int, w: int) -> tuple[int, ...]:
+        """The edges of a word in a draw."""
+        own = edges[draw][words.start[w] : words.stop[w]]
+        return tuple((own[own > 0] - 1).tolist())
+
     queue: list[list] = [[(-best[d], 0, int(words.first_word[d]), -1, ())] for d in range(n)]
     drawn: list[list] = [[] for _ in range(n)]
     for r in range(1, k + 1):
@@ -299,11 +319,13 @@ def sample(voc: Vocabulary, texts: list[str | None], seeds, k: int = SAMPLES):
         fresh = np.array([words.first_word[d + 1] if t is None else t[2] + (t[3] >= 0) for d, t in enumerate(take)], np.int64)
         word_no = np.arange(len(words.start))
         words.draw(np.flatnonzero(word_no >= fresh[words.owner]), r, edge)
-        log = np.zeros(len(words.start))
         for d, t in enumerate(take):
             if t is None or t[3] < 0:
                 continue
             _, _, w, parent, banned = t
+            if banned is None:  # what the word is in the draw that left this region
+                banned = (path(parent, w),)
+                take[d] = (*t[:4], banned)
             a, z = int(words.doc[d]), int(words.start[w])
             edge[a:z] = edges[parent][a:z]
             at = z
@@ -314,8 +336,10 @@ def sample(voc: Vocabulary, texts: list[str | None], seeds, k: int = SAMPLES):
         if none.any():  # placeholders keep the words' sums aligned; such texts are not read again
             for d in np.flatnonzero(none):
                 edge[words.doc[d] : words.doc_end[d]] = edges[0][words.doc[d] : words.doc_end[d]]
-        log = words.word_logs(edge)
-        edges.append(edge), logs.append(log)
+        log, own, head = words.word_logs(edge)
+        edges.append(edge)
+        cut = np.append(head, len(own))[words.first_word].tolist()
+        ids.append([own[a:z] for a, z in itertools.pairwise(cut)])
         # what each word leaves to others: mass of the words before it, times that of its other segmentations
         before = np.cumsum(log) - log
         before -= before[words.first_word[:-1]][words.owner]
@@ -338,12 +362,9 @@ def sample(voc: Vocabulary, texts: list[str | None], seeds, k: int = SAMPLES):
             top = np.argpartition(s, len(s) - (k + 1 - r))[len(s) - (k + 1 - r) :] if len(s) > k + 2 else np.arange(len(s))
             for i in top.tolist():
                 if s[i] > -np.inf:
-                    j = start + i
-                    own = edge[words.start[j] : words.stop[j]]
-                    heapq.heappush(queue[d], (-float(s[i]), r, j, r - 1, (tuple((own[own > 0] - 1).tolist()),)))
+                    heapq.heappush(queue[d], (-float(s[i]), r, start + i, r - 1, None))
             if parent >= 0:  # the place that differed: what it leaves beyond all banned so far
-                own = edge[words.start[w] : words.stop[w]]
-                more = (*banned, tuple((own[own > 0] - 1).tolist()))
+                more = (*banned, path(r - 1, w))
                 left = 1.0 - sum(float(np.exp(sum(float(words.lattice.log_weight[e]) for e in b) - words.total[w])) for b in more)
                 if left > words.least[w]:
                     m = float(before[w]) + np.log(left)
@@ -354,8 +375,7 @@ def sample(voc: Vocabulary, texts: list[str | None], seeds, k: int = SAMPLES):
         kappa = -queue[d][0][0] if queue[d] else -np.inf
         own = []
         for r, total, value in drawn[d]:
-            e = edges[r][words.doc[d] : words.doc_end[d]]
-            own.append((words.lattice.id[e[e > 0] - 1], total, value, float(-np.expm1(-np.exp(min(700.0, total - kappa)))) if np.isfinite(kappa) else 1.0))
+            own.append((ids[r][d], total, value, float(-np.expm1(-np.exp(min(700.0, total - kappa)))) if np.isfinite(kappa) else 1.0))
         out.append(own)
     return out
 

@@ -162,3 +162,22 @@ def test_segmentations_are_enumerated_without_loss():
     pieces_of = [b for b in voc.bytes if b]
     some = {w for n in range(1, 5) for w in itertools.product([i for i, b in enumerate(voc.bytes) if b and b in raw and i not in set(voc.byte_id.tolist())], repeat=n) if b"".join(voc.bytes[i] for i in w) == raw}
     assert pieces_of and {tuple(voc.bytes[i] for i in w) for w in some} == {tuple(voc.bytes[i] for i in w) for w in ways}
+
+
+def test_edges_of_one_distance_lie_together_and_draws_stay():
+    import zlib
+
+    import pyarrow.parquet as pq
+
+    voc = pieces.vocabulary(MODEL)
+    raw = np.frombuffer(" the catégories 日本".encode(), np.uint8)
+    cut = np.array([0, 4, len(raw) - 7, len(raw)])
+    lattice = pieces.Lattice(voc, raw, cut[:-1], cut[1:])
+    left = np.repeat(cut[1:], np.diff(cut)) - np.arange(len(raw))
+    own = np.flatnonzero(lattice.count)
+    order = own[np.argsort(lattice.first[own])]
+    assert (np.diff(left[order]) >= 0).all() and (lattice.first[order] == np.cumsum(lattice.count[order]) - lattice.count[order]).all()
+    # the draws are those of the code that kept edges in order of place and padded rows of chances
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()[:60] + [None, "", "a", "日本" * 40]
+    draws = pieces.sample(voc, texts, np.arange(len(texts)))
+    assert zlib.crc32(b"".join(d[0].astype("<u4").tobytes() for t in draws for d in t)) == 2044862680
