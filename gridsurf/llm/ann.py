@@ -12,6 +12,7 @@ against brute force over the sample, and the share is what a recall of RECALL ne
 The neighbours of a query among all rows lie nearer than those among a
 sample, so that the share errs on the safe side. `fraction=1.0` passes all cells, which is the exact search.
 
+A walk that passes more than STEPS cells is not gone cell by cell, as its end can be selected without their order.
 The walk's last sum says for any cell whether it was passed, so that only this
 number travels with a query. Index rows lie in groups of neighbouring first centroids, cut
 into blocks of bounded size, and queries into blocks likewise; a query goes only to
@@ -42,6 +43,8 @@ SAMPLE = 20_000
 PROBES = 512
 RECALL = 0.96
 GROUPS = 16
+#: Cells that a walk takes one by one, and buckets of sums in which a longer walk's end is sought.
+STEPS, BUCKETS = 512, 1024
 ROWS_BLOCK = 4096
 QUERY_BLOCK = 1024
 
@@ -77,19 +80,23 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def walk(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, wanted: float) -> float:
-    """The summed distance of the last cell that the walk passes. sizes: K1 x K2 rows of each cell."""
+    """The summed distance of the last cell that the walk passes. sizes: K1 x K2 rows of each cell.
+
+    A walk of more than STEPS cells is not gone to its end: the sum at which it would stop is selected among the cells that hold rows.
+    """
     o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-    a, b, held = d1[o1].tolist(), d2[o2].tolist(), sizes[np.ix_(o1, o2)].tolist()
+    a, b = d1[o1].tolist(), d2[o2].tolist()
     n1, n2 = len(a), len(b)
     heap = [(a[0] + b[0], 0, 0)]
-    got, last = 0, -np.inf
-    row_at = [0] * (n1 + 1)  # how far each row of the pair grid has come
+    got, steps = 0, 0
     while heap:
         last, i, j = heapq.heappop(heap)
-        got += held[i][j]
+        got += int(sizes[o1[i], o2[j]])
         if got >= wanted:
             return last
-        row_at[i] = j + 1
+        steps += 1
+        if steps == STEPS:
+            return stop_of_walk(d1, d2, sizes, wanted)
         if j == 0 and i + 1 < n1:
             heapq.heappush(heap, (a[i + 1] + b[0], i + 1, 0))
         if j + 1 < n2:
@@ -97,6 +104,23 @@ def walk(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, wanted: float) -> fl
     return np.inf
 
 
+def stop_of_walk(d1: np.ndarray, d2: np.ndarray, sizes: np.ndarray, wanted: float) -> float:
+    """What walk() returns, without an order of the cells: the least sum up to which cells hold `wanted` rows."""
+    c1, c2 = np.nonzero(sizes)
+    held, s = sizes[c1, c2], d1[c1] + d2[c2]
+    if not held.sum() >= wanted:
+        return np.inf
+    # the bucket of sums in which the walk stops, then the place in it
+    low, wide = s.min(), np.ptp(s)
+    bucket = np.minimum((s - low) * (BUCKETS / wide), BUCKETS - 1).astype(np.int64) if wide > 0 else np.zeros(len(s), np.int64)
+    total = np.cumsum(np.bincount(bucket, held, BUCKETS))
+    at = int(np.searchsorted(total, wanted))
+    own = np.flatnonzero(bucket == at)
+    own = own[np.argsort(s[own], kind="stable")]
+    before = total[at - 1] if at else 0.0
+    return float(s[own[int(np.searchsorted(before + np.cumsum(held[own]), wanted))]])
+
+
 def share_needed(x: np.ndarray, scaled: np.ndarray, books: list[np.ndarray], k: int, recall: float) -> float:
     """The share of the distinct vectors x that a walk must pass to meet `recall` of the k nearest, measured on PROBES of them."""
     _, pick = np.unique(x, axis=0, return_index=True)
@@ -104,7 +128,7 @@ def share_needed(x: np.ndarray, scaled: np.ndarray, books: list[np.ndarray], k:
     x, scaled = x[pick], scaled[pick]
     half = books[0].shape[1]
     c = nearest(scaled[:, :half], books[0]) * len(books[1]) + nearest(scaled[:, half:], books[1])
-    sizes = np.bincount(c, minlength=len(books[0]) * len(books[1]))
+    used, c, sizes = np.unique(c, return_inverse=True, return_counts=True)  # empty cells add nothing
     probe = np.random.default_rng(3).permutation(len(x))[:PROBES]
     d1, d2 = distances(scaled[probe, :half], books[0]), distances(scaled[probe, half:], books[1])
     needed = []
@@ -113,7 +137,7 @@ def share_needed(x: np.ndarray, scaled: np.ndarray, books: list[np.ndarray], k:
             s = np.nan_to_num(x @ x[row], nan=-np.inf, posinf=np.inf, neginf=-np.inf)
         s[row] = -np.inf
         best = np.argsort(-s, kind="stable")[: min(k, len(x) - 1)]
-        cell = (d1[i][:, None] + d2[i]).ravel()
+        cell = d1[i][used // len(books[1])] + d2[i][used % len(books[1])]
         order = np.argsort(cell, kind="stable")
         reached = np.empty(len(order))
         reached[order] = np.cumsum(sizes[order])

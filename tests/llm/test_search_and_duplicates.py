@@ -236,3 +236,20 @@ def test_every_window_belongs_to_one_item(seed):
             s = first[a] + p + i
             ranks.setdefault(tuple(sym[s : s + 20].tolist()), set()).add(r)
     assert all(len(r) == 1 for r in ranks.values())
+
+
+def test_long_walks_are_not_gone_cell_by_cell(monkeypatch):
+    rng = np.random.default_rng(4)
+    size = rng.integers(0, 3, (256, 256))
+    d1, d2 = rng.random(256), rng.random(256)
+    pops = []
+    pop = ann.heapq.heappop
+    monkeypatch.setattr(ann.heapq, "heappop", lambda heap: pops.append(1) or pop(heap))
+    sums = (d1[:, None] + d2).ravel()
+    order = np.argsort(sums, kind="stable")
+    reached = np.cumsum(size.ravel()[order])
+    for share in (0.001, 0.3, 0.67, 1.0):
+        wanted = share * size.sum()
+        assert ann.walk(d1, d2, size, wanted) == sums[order[np.searchsorted(reached, wanted)]]
+    assert ann.walk(d1, d2, size, size.sum() + 1) == np.inf
+    assert len(pops) <= 5 * 512
