@@ -26,6 +26,8 @@ not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -59,11 +61,14 @@ def content(column, row: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[b
     return [text[a:z] for a, z in zip(starts[begin].tolist(), ends[begin + size - 1].tolist(), strict=True)]
 
 
-def _signs(codes: np.ndarray) -> str:
-    """Word numbers as SIGNS characters each, those of each place its own 32, as a node of the automaton looks through its children one by one."""
-    shift = np.arange(SIGNS - 1, -1, -1) * 5
-    digits = (codes[:, None] >> shift & 31) + np.arange(SIGNS) * 32
-    return np.where(codes[:, None] > 0, digits, 255).astype(np.uint8).tobytes().decode("latin-1")
+def _signs():
+    """Numbers from 1 on as SIGNS characters each, those of each place its own 32, as a node of the automaton looks through its children one by one."""
+    digits = [[chr(k * 32 + i) for i in range(32)] for k in range(SIGNS)]
+    return itertools.islice(map("".join, itertools.product(*digits)), 1, None)
+
+
+#: A word that no passage holds.
+NO_SIGNS = "\xff" * SIGNS
 
 
 def locate(words: list[list[bytes]], passages: list[tuple[list[bytes], list[tuple[int, int, tuple]]]]) -> list[list[tuple[int, int, tuple]]]:
@@ -77,34 +82,53 @@ def locate(words: list[list[bytes]], passages: list[tuple[list[bytes], list[tupl
     hits: list[list[tuple[int, int, tuple]]] = [[] for _ in words]
     at = 0
     while at < len(passages):
-        number: dict[bytes, int] = {}
+        signs: dict[bytes, str] = defaultdict(_signs().__next__)
         keys: dict[str, tuple] = {}
         size = 0
         while at < len(passages) and (not size or size + len(passages[at][0]) <= PASSAGE_WORDS):
             own, runs = passages[at]
-            line = _signs(np.array([number.setdefault(w, len(number) + 1) for w in own], np.int64))
+            line = "".join(map(signs.__getitem__, own))
             for start, n, value in runs:
                 key = line[start * SIGNS : (start + n) * SIGNS]
-                if key not in keys or value < keys[key]:
+                old = keys.setdefault(key, value)
+                if value < old:
                     keys[key] = value
             size += len(own)
             at += 1
-        heads: dict[str, list[tuple[str, tuple]]] = {}
+        heads: dict[str, list[tuple[str, int, tuple]]] = defaultdict(list)
         for key, value in keys.items():
-            heads.setdefault(key[: HEAD * SIGNS], []).append((key, value))
+            heads[key[: HEAD * SIGNS]].append((key, len(key) // SIGNS, value))
         machine = ahocorasick.Automaton(ahocorasick.STORE_ANY)
         for head, tails in heads.items():
             machine.add_word(head, (len(head) - 1, tails))
         machine.make_automaton()
-        get = number.get
         for found, ws in zip(hits, words, strict=True):
-            line = _signs(np.array([get(w, 0) for w in ws], np.int64))
+            line = "".join(map(signs.get, ws, itertools.repeat(NO_SIGNS)))
+            begins = line.startswith
             for end, (back, tails) in machine.iter(line):
                 start = end - back
-                found += [(start // SIGNS, (start + len(key)) // SIGNS, value) for key, value in tails if line.startswith(key, start)]
+                word = start // SIGNS
+                for key, n, value in tails:
+                    if begins(key, start):
+                        found.append((word, word + n, value))
     return hits
 
 
+def routed_passages(right) -> list[tuple[list[bytes], list[tuple[int, int, tuple]]]]:
+    """What locate() takes, of an Arrow table lo, content, runs."""
+    import pyarrow as pa
+
+    runs = right["runs"].combine_chunks()
+    if isinstance(runs, pa.ChunkedArray):
+        runs = pa.concat_arrays(runs.chunks) if runs.num_chunks else pa.array([], runs.type)
+    size = runs.value_lengths().fill_null(0).to_numpy()
+    flat = dict(zip((f.name for f in runs.type.value_type), runs.flatten().flatten(), strict=True))
+    start = flat["start"].to_numpy() - np.repeat(right["lo"].to_numpy(), size)
+    values = zip(*(flat[c].to_pylist() if flat[c].null_count else flat[c].to_numpy().tolist() for c in ("doc_id", "uid", "at")), strict=True)
+    each = iter(zip(start.tolist(), flat["words"].to_numpy().tolist(), values, strict=True))
+    return [(c.split(), list(itertools.islice(each, n))) for c, n in zip(right["content"].to_pylist(), size.tolist(), strict=True)]
+
+
 def cut(words: list[bytes], owner: tuple[int, int], found: list[tuple[int, int, tuple]]) -> tuple[int, int, bytes]:
     """words, removed words and the rest of one text; owner: its doc_id and row hash."""
     edge = np.zeros(len(words) + 1, np.int64)
@@ -113,7 +137,7 @@ def cut(words: list[bytes], owner: tuple[int, int], found: list[tuple[int, int,
             edge[start] += 1
             edge[stop] -= 1
     keep = np.cumsum(edge)[:-1] == 0
-    kept = words if keep.all() else [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+    kept = words if keep.all() else list(itertools.compress(words, keep.tolist()))
     return len(words), len(words) - len(kept), b" ".join(kept)
 
 
@@ -162,10 +186,7 @@ def remove(docs: DataFrame, keep: list[str], texts: bool, width: int = WIDTH, gr
         import pyarrow as pa
 
         words = [t.split() for t in left["text"].cast(pa.binary()).to_pylist()]
-        passages = [
-            (c.split(), [(r["start"] - lo, r["words"], (r["doc_id"], r["uid"], r["at"])) for r in rs])
-            for lo, c, rs in zip(right["lo"].to_pylist(), right["content"].to_pylist(), right["runs"].to_pylist(), strict=True)
-        ]
+        passages = routed_passages(right)
         owners = zip(left["doc_id"].fill_null(repeats.LOW).to_pylist(), left["uid"].to_pylist(), strict=True)
         got = [cut(w, owner, f) for w, owner, f in zip(words, owners, locate(words, passages), strict=True)]
         cols = [left["uid"], *(left[f"_keep_{k}"] for k in range(len(carried)))]

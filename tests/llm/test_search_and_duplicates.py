@@ -253,3 +253,22 @@ def test_long_walks_are_not_gone_cell_by_cell(monkeypatch):
         assert ann.walk(d1, d2, size, wanted) == sums[order[np.searchsorted(reached, wanted)]]
     assert ann.walk(d1, d2, size, size.sum() + 1) == np.inf
     assert len(pops) <= 5 * 512
+
+
+def test_routed_passages_are_read_by_column_and_found():
+    import pyarrow as pa
+
+    runs = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("doc_id", pa.int64()), ("uid", pa.int64()), ("at", pa.int32())]))
+    run = lambda start, words, doc, uid, at: {"start": start, "words": words, "doc_id": doc, "uid": uid, "at": at}
+    schema = pa.schema([("lo", pa.int32()), ("content", pa.binary()), ("runs", runs)])
+    rows = [(10, b"a b\tc d e f g h", [run(10, 8, 1, 5, 10), run(11, 7, 0, 6, 3)]), (0, b"x y", []), (4, b"c d e f g h a", [run(4, 7, None, 7, 4)])]
+    table = pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+    table = pa.concat_tables([table.slice(0, 1), table.slice(1)])
+    got = substring.routed_passages(table)
+    assert got == [(c.split(), [(r["start"] - lo, r["words"], (r["doc_id"], r["uid"], r["at"])) for r in rs]) for lo, c, rs in rows]
+    assert substring.routed_passages(table.slice(0, 0)) == substring.routed_passages(schema.empty_table()) == []
+    words = b"z a b c d e f g h a z".split()
+    assert sorted(substring.locate([words, [], [b"a"]], got)[0], key=repr) == [(1, 9, (1, 5, 10)), (2, 9, (0, 6, 3)), (3, 10, (None, 7, 4))]
+    # as many words as need all digits
+    many = [str(i).encode() for i in range(40_000)]
+    assert substring.locate([many[39_980:]], [(many, [(39_975, 25, (0, 0, 0)), (39_985, 15, (0, 0, 1))])]) == [[(5, 20, (0, 0, 1))]]
